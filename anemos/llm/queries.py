@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anemos.llm._common import shared_folder
 from anemos.llm.decontaminate import contaminated
+from anemos.llm.language import detect_language, fit_language
 from anemos.llm.mixing import mix_sources
 from anemos.llm.quality import fit_quality, score_quality
 from anemos.llm.sharding import kd_shards
 from anemos.llm.simhash import simhash_groups
+from anemos.llm.warc import read_warc, write_warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +40,25 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = fit_language(docs.where(_remainder(4) != 2))
+    found = detect_language(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_warc(_table(spark, sf_dir, "pages"), folder)
+    found = read_warc(spark, folder)
+    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "complete")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
     model = fit_quality(docs, labels.where(_remainder(5) != 0))
@@ -55,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_kd_sharding, op4_simhash, op5_decontamination, op7_mixing, op9_quality, pipeline)
+    f.__name__: f for f in (op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, pipeline)
 }
 
 #: The same block digests, quotas and order as the operator's.
@@ -107,4 +125,13 @@ JOIN rest ON d.source IS NOT DISTINCT FROM rest.source
 LEFT JOIN subs ON b.ends AND d.source IS NOT DISTINCT FROM subs.source AND d.b1 = subs.b1 AND d.b2 = subs.b2
 """
 
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+OP8_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS first_id FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first_id THEN first_id END AS refers_to, true AS complete
+FROM f
+"""
+
+ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
