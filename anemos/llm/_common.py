@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -199,3 +200,10 @@ class SpanHash:
     def every(self, length: int) -> np.ndarray:
         """Hash of each span of `length` bytes, by its start."""
         return mix64((self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length])
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a large in-between result as Parquet in the shared folder and read it back: compressed, and with no lineage."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -15,6 +15,7 @@ from anemos.llm.mixing import mix_sources
 from anemos.llm.quality import fit_quality, score_quality
 from anemos.llm.sharding import kd_shards
 from anemos.llm.simhash import simhash_groups
+from anemos.llm.suffix import remove_repeats
 from anemos.llm.warc import read_warc, write_warc
 
 
@@ -26,6 +27,10 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200, keep="none", with_kept=False)
+
+
 def op3_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = kd_shards(docs, shards=8, keep=["doc_id"])
@@ -73,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, pipeline)
+    f.__name__: f for f in (op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, pipeline)
 }
 
 #: The same block digests, quotas and order as the operator's.
