@@ -12,6 +12,7 @@ from anemos.llm._common import shared_folder
 from anemos.llm.decontaminate import contaminated
 from anemos.llm.language import detect_language, fit_language
 from anemos.llm.mixing import mix_sources
+from anemos.llm.neardup_vectors import vector_groups
 from anemos.llm.quality import fit_quality, score_quality
 from anemos.llm.sharding import kd_shards
 from anemos.llm.simhash import simhash_groups
@@ -27,6 +28,10 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=200, keep="none", with_kept=False)
 
@@ -78,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, pipeline)
+    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, pipeline)
 }
 
 #: The same block digests, quotas and order as the operator's.
@@ -139,4 +144,18 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM f
 """
 
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT AS n_links, min(reach.b) AS component_id,
+  e.vec_id = min(reach.b) AS kept
+FROM embeddings e JOIN reach ON reach.a = e.vec_id GROUP BY e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
