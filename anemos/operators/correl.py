@@ -143,7 +143,7 @@ def speedsort_fit(data: DataFrame, ref_speed: str, target_speed: str, ref_direct
     first = pairs.groupBy("sector").agg(F.coalesce(F.min(F.when(F.col("x") >= cutoff, F.col("rn"))), F.lit(1)).alias("first"), F.count(F.lit(1)).alias("n"))
     above = pairs.join(F.broadcast(first), "sector").where("rn >= first").withColumn("half", F.floor((F.col("n") - F.col("first") + 1) / 2)).withColumn("at", F.col("rn") - F.col("first"))
     lower = F.col("at") < F.col("half")
-    means = above.groupBy("sector").agg(*[F.avg(F.when(part, c)).alias(f"{c}{i}") for i, part in ((1, lower), (2, ~lower)) for c in ("x", "y")], F.min("y").alias("target_cutoff"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_above"))
+    means = above.groupBy("sector").agg(*[F.avg(F.when(part, F.col(c))).alias(f"{c}{i}") for i, part in ((1, lower), (2, ~lower)) for c in ("x", "y")], F.min("y").alias("target_cutoff"), F.max("n").alias("n"), F.count(F.lit(1)).alias("n_above"))
     slope = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
     fits = means.select("sector", slope.alias("slope"), (F.col("y1") - slope * F.col("x1")).alias("offset"), "target_cutoff", "n", "n_above")
     limits = rows.agg(*[(0.5 * (6 + 0.5 * F.avg(c))).alias(f"_{i}") for i, c in enumerate((ref_speed, target_speed))])

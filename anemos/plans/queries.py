@@ -1,5 +1,5 @@
 """Registered queries of the library's operators over the views, each with SQL for DuckDB where SQL can express it. Doubles are
-rounded to 6 places on both sides."""
+rounded to 9 places on both sides."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ ORACLES: dict[str, str] = {}
 
 
 def _rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(c, 6) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(c, 9) if t == "double" else F.col(c)).alias(c) for c, t in df.dtypes])
 
 
 def query(sql: str | None = None, doubles: str = "") -> Callable:
@@ -37,7 +37,7 @@ def query(sql: str | None = None, doubles: str = "") -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
         if sql is not None:
             inner = ctes(sql)
-            replaced = ", ".join(f"round({c}, 6) AS {c}" for c in doubles.split())
+            replaced = ", ".join(f"round({c}, 9) AS {c}" for c in doubles.split())
             ORACLES[f.__name__] = f"SELECT * REPLACE ({replaced}) FROM ({inner})" if doubles else inner
         return f
 
@@ -261,7 +261,7 @@ def q32_momm_threshold(s, d):
 
 
 @query(f"""WITH r AS (SELECT month(ts) AS mo, CAST(floor(spd + 0.5) AS INT) + 1 AS bin, {SECTOR} AS sector FROM tgt_daily), w AS (SELECT month(x) AS mo, avg(day(last_day(x))) AS days FROM (SELECT DISTINCT {MONTH} AS x FROM tgt_daily) GROUP BY 1),
-c AS (SELECT mo, bin, sector, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY mo) AS v FROM r GROUP BY ALL), f AS (SELECT bin, sector, sum(v * days) / (SELECT sum(days) FROM w) AS v FROM c JOIN w USING (mo) GROUP BY ALL),
+c AS (SELECT mo, bin, sector, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY mo) AS v FROM r GROUP BY mo, bin, sector), f AS (SELECT bin, sector, sum(v * days) / max(tot) AS v FROM c JOIN w USING (mo), (SELECT sum(days) AS tot FROM w) GROUP BY bin, sector),
 dim AS (SELECT b::INT AS bin, (b - 1.5)::DOUBLE AS bin_left, (b - 0.5)::DOUBLE AS bin_right, s::INT AS sector FROM range(1, 42) x(b), range(1, 13) y(s))
 SELECT dim.bin, bin_left, bin_right, dim.sector, coalesce(v, 0) AS value FROM dim LEFT JOIN f USING (bin, sector)""", "value")
 def q33_freq_table_seasonal(s, d):
@@ -509,8 +509,8 @@ def q69_speed_ratio(s, d):
 
 SORTED = MERGED + f""", k AS (SELECT least(0.5 * momm, 4) AS cut FROM ({MOMM.format('ref_daily')})), w AS (SELECT *, {SECTOR} AS sector FROM dd),
 pr AS (SELECT x.sector, x.rn, r, t FROM (SELECT sector, r, row_number() OVER (PARTITION BY sector ORDER BY r) AS rn FROM w) x JOIN (SELECT sector, t, row_number() OVER (PARTITION BY sector ORDER BY t) AS rn FROM w) y ON x.sector = y.sector AND x.rn = y.rn),
-fi AS (SELECT sector, coalesce(min(rn) FILTER (r >= cut), 1) AS f, count(*) AS n FROM pr, k GROUP BY 1), ab AS (SELECT pr.*, n, rn - f AS at, floor((n - f + 1) / 2) AS half FROM pr JOIN fi USING (sector) WHERE rn >= f),
-ms AS (SELECT sector, avg(r) FILTER (at < half) AS x1, avg(t) FILTER (at < half) AS y1, avg(r) FILTER (at >= half) AS x2, avg(t) FILTER (at >= half) AS y2, min(t) AS tc, max(n) AS n, count(*) AS na FROM ab GROUP BY 1),
+fi AS (SELECT sector, coalesce(min(rn) FILTER (r >= cut), 1) AS f, count(*) AS n FROM pr, k GROUP BY 1), ab AS (SELECT pr.*, n, rn - f AS gap, floor((n - f + 1) / 2) AS half FROM pr JOIN fi USING (sector) WHERE rn >= f),
+ms AS (SELECT sector, avg(r) FILTER (gap < half) AS x1, avg(t) FILTER (gap < half) AS y1, avg(r) FILTER (gap >= half) AS x2, avg(t) FILTER (gap >= half) AS y2, min(t) AS tc, max(n) AS n, count(*) AS na FROM ab GROUP BY 1),
 lm AS (SELECT 0.5 * (6 + 0.5 * avg(r)) AS lr, 0.5 * (6 + 0.5 * avg(t)) AS lt FROM w), vv AS (SELECT sector, avg(CASE WHEN tdir - dir > 180 THEN tdir - dir - 360 WHEN tdir - dir < -180 THEN tdir - dir + 360 ELSE tdir - dir END) AS v, count(*) AS nv FROM w, lm WHERE r >= lr AND t >= lt GROUP BY 1),
 fit AS (SELECT sector, round((y2 - y1) / (x2 - x1), 5) AS slope, round(y1 - (y2 - y1) / (x2 - x1) * x1, 5) AS "offset", round(tc, 5) AS target_cutoff, n, na AS n_above, round(v, 5) AS veer, coalesce(nv, 0) AS n_veer FROM ms LEFT JOIN vv USING (sector)) """
 
