@@ -121,12 +121,12 @@ def labels_of(near: np.ndarray) -> np.ndarray:
 
 def tiles(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
     """Deal cells of rows with equal `key` into tiles of at most about 2 x `most` rows, such that each pair of a cell meets
-    in a tile. Adds tile_i, tile_j (block numbers, i <= j) and block. Cells of one row are left out. A cell's rows are
-    counted with partial sums first, so that no cell is ever gathered whole."""
-    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("cell_rows")).where("cell_rows > 1")
+    in a tile. Adds tile_i, tile_j (block numbers, i <= j) and block. A cell's rows are counted with partial sums first, so
+    that no cell is ever gathered whole; only cells of more than `most` rows are cut, and only those counts are joined."""
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("cell_rows")).where(F.col("cell_rows") > most)
     return (
-        rows.join(counts, key)
-        .withColumn("blocks", F.ceil(F.col("cell_rows") / F.lit(most)).cast("int"))
+        rows.join(counts, key, "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("cell_rows") / F.lit(most)), F.lit(1)).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("tile_i", F.least("block", "other"))
