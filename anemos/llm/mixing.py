@@ -130,22 +130,26 @@ def mix_sources(docs: DataFrame, shards: int = 8, seed: str = "mix:", most: int
     epochs = F.sequence(F.lit(0), F.lit(most))
     all_shards = F.transform(epochs, lambda e: shard((e * F.col("n_blocks") + F.col("unit") - 1).cast("long")))
     info = plan.sources.select(F.col("source").alias("of"), "source_size", "target")
-    table = units_of.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("of"))).select(F.struct(F.col("source").alias("s"), "b1").alias("k"), "full", "chosen", "ends", "source_size", "target", all_shards.alias("all_shards"))
+    key = lambda source, block: F.struct(F.col(source).alias("s"), F.col(block).alias("b"))
+    table = units_of.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("of"))).select(
+        key("source", "b1").alias("mix_k"), F.col("full").alias("mix_full"), F.col("chosen").alias("mix_chosen"), F.col("ends").alias("mix_ends"),
+        F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), all_shards.alias("mix_all_shards"),
+    )
     table = checkpointed(table)
-    subs = plan.subs.select(F.struct(F.col("source").alias("s"), "b1").alias("k"), F.col("b2").alias("sub"), F.lit(True).alias("hit"))
+    subs = plan.subs.select(key("source", "b1").alias("mix_sub_k"), F.col("b2").alias("mix_sub"), F.lit(True).alias("mix_hit"))
     b1, b2 = _blocks(id_col, seed)
     keyed = docs.withColumns({"mix_size": word_count(F.col(text_col)), "mix_b1": b1, "mix_b2": b2})
-    d = keyed.join(F.broadcast(table), F.col("k").eqNullSafe(F.struct(F.col(source_col).alias("s"), F.col("mix_b1").alias("b1")))).drop("k")
-    d = d.join(F.broadcast(subs), F.col("ends") & F.col("k").eqNullSafe(F.struct(F.col(source_col).alias("s"), F.col("mix_b1").alias("b1"))) & (F.col("sub") == F.col("mix_b2")), "left")
-    times = F.col("full") + (F.col("chosen") | F.coalesce("hit", F.lit(False))).cast("int")
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), times.alias("mix_times"), (F.col("mix_size") * times).alias("mix_taken"), F.slice("all_shards", F.lit(1), times).alias("mix_shards"))
+    d = keyed.join(F.broadcast(table), F.col("mix_k").eqNullSafe(key(source_col, "mix_b1")))
+    d = d.join(F.broadcast(subs), F.col("mix_ends") & F.col("mix_sub_k").eqNullSafe(F.col("mix_k")) & (F.col("mix_sub") == F.col("mix_b2")), "left")
+    times = F.col("mix_full") + (F.col("mix_chosen") | F.coalesce("mix_hit", F.lit(False))).cast("int")
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", times.alias("mix_times"), (F.col("mix_size") * times).alias("mix_taken"), F.slice("mix_all_shards", F.lit(1), times).alias("mix_shards"))
 
 
 def draw_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each document as many times as the mix takes it, columns as in docs, dealt to the mix's shards and shuffled
+    """docs with each document as many times as the mix takes it, columns as in docs but for those that start with mix_, dealt to the mix's shards and shuffled
     within each by a digest of id and time."""
     mixed = mix_sources(docs, **options)
     id_col = options.get("id_col", "doc_id")
     one = mixed.select("*", F.posexplode("mix_shards").alias("mix_time", "mix_shard")).withColumn("mix_order", F.xxhash64(id_col, "mix_time"))
     dealt = one.repartition(F.col("mix_shard"), F.pmod("mix_order", F.lit(64))).sortWithinPartitions("mix_shard", "mix_order")
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")])
