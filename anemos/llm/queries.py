@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from anemos.llm._common import shared_folder
 from anemos.llm.decontaminate import contaminated
 from anemos.llm.language import detect_language, fit_language
+from anemos.llm.lines import dedup_lines
 from anemos.llm.mixing import mix_sources
 from anemos.llm.neardup_vectors import vector_groups
 from anemos.llm.quality import fit_quality, score_quality
@@ -76,6 +77,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), similarity=0.8)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, pipeline)
+    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, op10_lines, pipeline)
 }
 
 #: The same block digests, quotas and order as the operator's.
