@@ -196,3 +196,9 @@ def speedsort_synthesize(ref: DataFrame, target: DataFrame, params: DataFrame, r
     both = target.select(ts, target_speed, target_direction).join(p.select(ts, "predicted", "predicted_direction"), ts, "full")
     speed = F.coalesce(target_speed, "predicted")
     return both.select(ts, F.when(speed < 0, 0.0).otherwise(speed).alias(f"{target_speed}_Synthesized"), F.coalesce(target_direction, "predicted_direction").alias(f"{target_direction}_Synthesized"))
+
+
+def randomize_calms(data: DataFrame, speed: str, direction: str, below: float = 1.0, seed: int = 0, ts: str = "ts") -> DataFrame:
+    """A direction drawn evenly for rows with speed under `below`, from a digest of timestamp and seed, so that reruns agree."""
+    drawn = F.pmod(F.xxhash64(F.col(ts), F.lit(seed)), F.lit(36000)) / 100
+    return data.withColumn(direction, F.when(F.col(speed) < below, drawn).otherwise(F.col(direction)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anemos.functions.aggs import Aggregate, aggregate, quantile
@@ -228,3 +229,12 @@ def iec_curves(spark) -> DataFrame:
     """(speed, class_a, class_b, class_c): reference turbulence of the design classes for 1 to 25 m/s."""
     v = F.col("id").cast("double")
     return spark.range(1, 26).select(v.alias("speed"), *[(F.lit(i) * (F.lit(0.75) + F.lit(5.6) / v)).alias(f"class_{n}") for n, i in (("a", 0.16), ("b", 0.14), ("c", 0.12))])
+
+
+def scatter_by_sector(df: DataFrame, x: str, y: str, direction: str, sectors: int = 12, sort_inputs: bool = False) -> DataFrame:
+    """(sector, x, y) of rows with all three; sort_inputs pairs the values of each sector by rank instead of by row."""
+    rows = df.select(sector(F.col(direction), sectors).alias("sector"), F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    if not sort_inputs:
+        return rows
+    rank = lambda c: F.row_number().over(W.partitionBy("sector").orderBy(c))
+    return rows.select("sector", "x", rank("x").alias("rank")).join(rows.select("sector", "y", rank("y").alias("rank")), ["sector", "rank"]).select("sector", "x", "y")

@@ -134,3 +134,8 @@ def profile(params: DataFrame, method: str = POWER, top: int = 120) -> DataFrame
     z = F.ln(F.col("height"))
     speed = F.exp(F.col("intercept")) * F.exp(F.col("slope") * z) if method == POWER else F.col("slope") * z + F.col("intercept")
     return params.select("slope", "intercept", F.explode(F.sequence(F.lit(1), F.lit(top))).cast("double").alias("height")).select("height", speed.alias("speed"))
+
+
+def steps(hours: DataFrame) -> DataFrame:
+    """hours_of's result shifted by one hour around the clock, as a step line ending at each hour draws it."""
+    return hours.withColumn("hour", F.pmod(F.col("hour") + 1, F.lit(24)))

@@ -215,3 +215,56 @@ def test_streaming(spark, tmp_path):
     q.stop()
     rows = spark.table("hours").orderBy("ts").collect()
     assert [r["spd"] for r in rows] == [2.5 + 6 * i for i in range(6)] and rows[0]["spd_coverage"] == 1
+
+
+def test_known_values(spark):
+    one = spark.createDataFrame([(7.74, 8.2, 8.57)], "a double, b double, c double")
+    assert H.average(one, ["a", "b", "c"], [60, 80, 100]).first()["value"] == pytest.approx(0.199474297, abs=1e-8)
+    two = spark.createDataFrame([(8.0, 8.365116)], "a double, b double")
+    assert H.average(two, ["a", "b"], [80, 100]).first()["value"] == pytest.approx(0.2, abs=1e-6)
+    assert H.average(two, ["a", "b"], [80, 100], method="log_law").first()["value"] == pytest.approx(0.602156994, abs=1e-6)
+    assert value(spark, S.adjust_slope_offset(F.lit(8.0), 0.045, 0.235, 0.046, 0.236)) == pytest.approx(8.17355, abs=1e-4)
+    got = [value(spark, S.offset_direction(F.lit(d).cast("double"), 345)) for d in (10.0, 30.0, None, 40.0, 350.0)]
+    assert got == [355, 15, None, 25, 335]
+    assert value(spark, S.air_density(F.lit(15.0), F.lit(1013.0), 0, 200)) == pytest.approx(1.203, abs=1e-3)
+    d = spark.createDataFrame([(15.0, 3.0), (None, 4.0), (25.0, 5.0)], "d double, s double")
+    assert d.agg(S.circular_mean(F.col("d"), F.col("s")).alias("v")).first()["v"] == pytest.approx(21.253, abs=1e-3)
+
+
+def test_momm_of_a_year_that_counts_its_months(spark):
+    df = spark.createDataFrame([(datetime(2016, 1, 1) + i * timedelta(hours=1),) for i in range(366 * 24)], "ts timestamp_ntz").withColumn("wspd", F.month("ts").cast("double"))
+    assert P.momm(df, ["wspd"]).first()["momm"] == pytest.approx(6.5)
+    days = [31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31]
+    assert P.momm(df, ["wspd"], seasonal=True).first()["momm"] == pytest.approx(sum((i + 1) * d for i, d in enumerate(days)) / 366)
+    with pytest.raises(ValueError):
+        P.momm(df.where("month(ts) < 12"), ["wspd"], seasonal=True)
+
+
+def test_offset_timestamps_collide(spark):
+    df = series(spark, [1, 2, 3, 4], datetime(2020, 1, 1), DAY)
+    a, b = datetime(2020, 1, 1), datetime(2020, 1, 3)
+    assert [r["spd"] for r in P.offset_timestamps(df, "1D", a, b, True).orderBy("ts").collect()] == [1, 2, 4]
+    assert [r["spd"] for r in P.offset_timestamps(df, "1D", a, b).orderBy("ts").collect()] == [1, 3, 4]
+
+
+def test_catalog(spark, tmp_path):
+    from anemos.sources import catalog
+
+    (tmp_path / "p.json").write_text('[{"name": "B", "uuid": "2", "plant_type_id": "onshore_wind"}, {"name": "A", "uuid": "1", "plant_type_id": "solar", "elevation_m": 3}]')
+    assert [r["plant_uuid"] for r in catalog.plants(spark, str(tmp_path / "p.json")).collect()] == ["1", "2"]
+    (tmp_path / "s.json").write_text('[{"name": "M", "uuid": "1", "measurement_station_type_id": "mast"}, {"name": "L", "uuid": "2", "measurement_station_type_id": "lidar"}]')
+    assert [r["name"] for r in catalog.stations(spark, str(tmp_path / "s.json"), ["mast"]).collect()] == ["M"]
+    with pytest.raises(ValueError, match="lidar"):
+        catalog.stations(spark, str(tmp_path / "s.json"), ["sodar"])
+    points = spark.createDataFrame([("1", "Spd", "wind_speed"), ("2", "Dir", "wind_direction")], "uuid string, name string, measurement_type_id string")
+    configs = spark.createDataFrame([("1", datetime(2020, 1, 2)), ("1", datetime(2019, 1, 2))], "uuid string, date_from timestamp_ntz")
+    assert [r["date_from"] for r in catalog.sensor_table(points, configs).collect()] == [None, "2019-01-02", "2020-01-02"]
+
+
+def test_chart_data(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 10.0), (2.0, 3.0, 12.0), (9.0, 9.0, 90.0)], "x double, y double, d double")
+    assert sorted((r["x"], r["y"]) for r in D.scatter_by_sector(df, "x", "y", "d", sort_inputs=True).collect()) == [(1, 3), (2, 5), (9, 9)]
+    hours = H.hours_of(spark.createDataFrame([(0, 0.1), (1, 0.2)], "segment int, value double"), 2, 0)
+    assert {r["value"] for r in H.steps(hours).where("hour = 0").collect()} == {0.2}
+    calm = df.withColumn("ts", F.lit(datetime(2020, 1, 1)))
+    assert R.randomize_calms(calm, "x", "d", 1.5).exceptAll(R.randomize_calms(calm.repartition(3), "x", "d", 1.5)).count() == 0
