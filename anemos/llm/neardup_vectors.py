@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from anemos.llm._common import checkpointed, connected_components, labels_of, runs, tiles
 
+#: Rows of a tile whose collisions are counted together.
+STRIP = 64
+
 
 def calibrated_count(projections: int, width: float, miss: float) -> int:
     """Largest count that a pair at the threshold distance reaches in all but a share `miss` of cases, if it collides in a
@@ -85,22 +88,31 @@ def vector_links(reps: DataFrame, cosine: float = 0.98, projections: int = 24, w
         x, _ = _unit(cols["vector"].slice(part.start, n))
         home, at = (np.stack(cols[c].slice(part.start, n).to_numpy(zero_copy_only=False)) for c in ("home", "at"))
         ids, copies, block, lab = (cols[c][part] for c in ("id", "copies", "block", "lab"))
-        ok = lab[:, None] == lab[None, :]
-        for i in range(grid):  # a pair counts in one of the cells where it meets
-            ok &= (np.maximum(home[:, None, i], home[None, :, i]) == at[:, None, i]) & (at[:, None, i] == at[None, :, i])
-        if cols["tile_i"][part.start] != cols["tile_j"][part.start]:
-            ok &= block[:, None] != block[None, :]
-        np.fill_diagonal(ok, False)
         value = (x @ directions(x.shape[1], projections, seed + 1).T).astype(np.float32)
-        count = np.zeros((n, n), np.uint8)
         window = np.float32(width * radius * (1 + 1e-5))
-        for v in value.T:
-            count += np.abs(v[:, None] - v[None, :]) <= window
-        a, b = np.nonzero(ok & (count >= need))
-        hit = np.zeros(len(a), bool)
+        found = []
+        for lo in range(0, n, STRIP):  # a strip's counts and differences stay in the cache
+            rows = slice(lo, min(lo + STRIP, n))
+            apart = np.empty((rows.stop - lo, n), np.float32)
+            hit, count = np.empty(apart.shape, bool), np.zeros(apart.shape, np.uint8)
+            for v in value.T:
+                np.subtract(v[rows, None], v[None, :], out=apart)
+                np.abs(apart, out=apart)
+                np.less_equal(apart, window, out=hit)
+                count += hit
+            a, b = np.nonzero(count >= need)
+            found.append(np.stack([a + lo, b]))
+        a, b = np.concatenate(found, 1)
+        ok = (a != b) & (lab[a] == lab[b])
+        for i in range(grid):  # a pair counts in one of the cells where it meets
+            ok &= (at[a, i] == at[b, i]) & (np.maximum(home[a, i], home[b, i]) == at[a, i])
+        if cols["tile_i"][part.start] != cols["tile_j"][part.start]:
+            ok &= block[a] != block[b]
+        a, b = a[ok], b[ok]
+        same = np.zeros(len(a), bool)
         for k in range(0, len(a), 1 << 16):
-            hit[k : k + (1 << 16)] = np.einsum("ij,ij->i", x[a[k : k + (1 << 16)]], x[b[k : k + (1 << 16)]]) >= cosine
-        a, b = a[hit], b[hit]
+            same[k : k + (1 << 16)] = np.einsum("ij,ij->i", x[a[k : k + (1 << 16)]], x[b[k : k + (1 << 16)]]) >= cosine
+        a, b = a[same], b[same]
         linked = np.unique(a)
         if not len(linked):
             return (np.zeros(0, np.int64),) * 3

@@ -16,6 +16,8 @@ from anemos.llm._common import SpanHash, stored, text_buffer, text_slices
 
 #: Bits of an anchor's order that hold its position; texts of up to 2^28 bytes.
 PLACE = np.uint64((1 << 28) - 1)
+#: Bytes of pieces whose suffixes are ranked together, unless one anchor has more.
+PART = 1 << 19
 ANCHORS = "doc bigint, lo int, n int, h bigint, ctx bigint"
 
 
@@ -111,7 +113,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, _, buf, offs in text_slices(batch.column(1)):
+            for first, _, buf, offs in text_slices(batch.column(1), 1 << 19):
                 text, lo, n, h, ctx, _ = anchors(buf, offs, length, gram)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + first)), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64))], names=["doc", "lo", "n", "h", "ctx"])
 
@@ -141,7 +143,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             held.append(batch)
             t = pa.Table.from_batches(held)
-            if t.column("piece").nbytes < 2 << 20:
+            if t.column("piece").nbytes < PART:
                 continue
             h = t.column("h").to_numpy()
             end = int(np.searchsorted(h, h[-1]))  # the last anchor may go on
@@ -181,15 +183,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return settled.unionByName(compared).unionByName(found.select("doc", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
 
 
-def _cuts(h: np.ndarray, pieces: pa.ChunkedArray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of whole anchors, of about `most` bytes each."""
+def _cuts(h: np.ndarray, pieces: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+    """Row ranges of whole anchors, of about PART bytes each."""
     if not len(h):
         return
     size = np.cumsum([len(x) for x in pieces.to_pylist()])
     edges = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
     lo = 0
     for a, b in zip(edges[:-1], edges[1:]):
-        if b == len(h) or size[b - 1] - (size[lo - 1] if lo else 0) >= most:
+        if b == len(h) or size[b - 1] - (size[lo - 1] if lo else 0) >= PART:
             yield lo, int(b)
             lo = int(b)
 
@@ -206,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, buf, offs in text_slices(batch.column(1), 4 << 20):
+            for first, end, buf, offs in text_slices(batch.column(1)):
                 out = []
                 for i in range(first, end):
                     text = buf[offs[i - first] : offs[i - first + 1]]

@@ -128,8 +128,8 @@ def test_lines(spark):
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
     assert got[1] == (f"{long}\nfirst only\n---", 3, 0)
     assert got[3] == ("", 4, 3) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("\n\n", 3, 0) and got[7][2] == 0
-    pairs = lines.candidates(lines.marked_lines(df, "doc_id", "text").groupBy("h0", "h1").agg(F.max("size").alias("size"), F.max("fp").alias("fp")), 12, 0.8).count()
-    assert got[2][2] == (1 if pairs else 0)
+    fps = lines.marked_lines(df, "doc_id", "text").groupBy("h0", "h1").agg(F.max("size").alias("size"), F.max("fp").alias("fp")).withColumn("id", F.struct("h0", "h1")).withColumn("part", F.col("id"))
+    assert got[2][2] == (1 if lines.candidates(fps, 12, 0.8).count() else 0)
     assert lines.dedup_lines(df.where("false")).count() == 0
 
 
@@ -142,3 +142,31 @@ def test_line_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
     plan = lines.marked_lines(df, "doc_id", "text")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_lines_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(300)]
+    base = [" ".join(rng.choice(words, 60)) for _ in range(5)]
+    docs = []
+    for i in range(60):
+        w = base[i % 5].split()
+        for k in rng.choice(60, rng.integers(0, 3), replace=False):
+            w[k] = str(rng.choice(words))
+        docs.append((i, " ".join(w) + "\n" + " ".join(rng.choice(words, 9))))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lines.marked_lines(df, "doc_id", "text").collect()
+    text = {(i, k): t.split() for i, d in docs for k, t in enumerate(d.split("\n"))}
+    at = sorted(text)
+    fp = {(r["doc"], r["pos"]): r["fp"] & (2**64 - 1) for r in rows}
+
+    def similar(a, b):
+        blocks = any(fp[a] >> 16 * k & 0xFFFF == fp[b] >> 16 * k & 0xFFFF for k in range(4))
+        if not blocks or (fp[a] ^ fp[b]).bit_count() > 12 or len(text[a]) != len(text[b]):
+            return False
+        return sum(x != y for x, y in zip(text[a], text[b])) <= 0.2 * len(text[a])
+
+    near = np.array([[i != j and similar(a, b) for j, b in enumerate(at)] for i, a in enumerate(at)])
+    root = labels_of(near)
+    want = {at[i] for i in range(len(at)) if root[i] != i}
+    assert {(r["doc"], r["pos"]) for r in lines.repeated_lines(df).collect()} == want and len(want) > 20
