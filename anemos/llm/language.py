@@ -56,8 +56,9 @@ class ByteGRU:
         new += c
         return new, z, r, c, g[2 * n :]
 
-    def states(self, d: int, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
-        """States (T x H x N) of direction d over windows x (T x N)."""
+    def states(self, d: int, x: np.ndarray, keep: bool = False, inside: np.ndarray | None = None) -> tuple[np.ndarray, list]:
+        """States (T x H x N) of direction d over windows x (T x N). Where `inside` is false the state stays zero, so that the
+        bytes which pad a short window count for nothing."""
         steps, lanes = x.shape
         size = self.turn[d].shape[1]
         h = np.zeros((size, lanes), np.float32)
@@ -65,15 +66,17 @@ class ByteGRU:
         for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
             before = h
             h, *inner = self.step(d, x[t], h)
+            if inside is not None:
+                h *= inside[t]
             out[t] = h
             if keep:
                 kept.append((t, before, *inner))
         return out, kept
 
-    def positions(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """Language probabilities (languages x N) of each position of windows x (T x N)."""
-        ahead = self.states(0, x)[0]
-        behind = self.states(1, x)[0]
+    def positions(self, x: np.ndarray, inside: np.ndarray) -> Iterator[np.ndarray]:
+        """Language probabilities (languages x N) of each position of windows x (T x N) of which `inside` is text."""
+        ahead = self.states(0, x, inside=inside)[0]
+        behind = self.states(1, x, inside=inside)[0]
         size = ahead.shape[1]
         for t in range(len(x)):
             yield _softmax(self.out[:, :size] @ ahead[t] + self.out[:, size:] @ behind[t] + self.bias)
@@ -128,7 +131,7 @@ class ByteGRU:
             inside = steps < size[part]
             x = np.where(inside, buf[np.minimum(first[part] + steps, len(buf) - 1)], np.uint8(32))
             pooled = np.zeros((len(self.languages), len(part)), np.float32)
-            for t, p in enumerate(self.positions(x)):
+            for t, p in enumerate(self.positions(x, inside)):
                 pooled += p * inside[t]
             for k in range(len(self.languages)):
                 total[:, k] += np.bincount(doc[part], weights=pooled[k], minlength=len(n))
