@@ -128,7 +128,7 @@ def test_lines(spark):
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
     assert got[1] == (f"{long}\nfirst only\n---", 3, 0)
     assert got[3] == ("", 4, 3) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("\n\n", 3, 0) and got[7][2] == 0
-    fps = lines.marked_lines(df, "doc_id", "text").groupBy("h0", "h1").agg(F.max("size").alias("size"), F.max("fp").alias("fp")).withColumn("id", F.struct("h0", "h1")).withColumn("part", F.col("id"))
+    fps = lines.distinct_lines(lines.marked_lines(df, "doc_id", "text")).withColumn("part", F.col("id"))
     assert got[2][2] == (1 if lines.candidates(fps, 12, 0.8).count() else 0)
     assert lines.dedup_lines(df.where("false")).count() == 0
 
@@ -144,6 +144,19 @@ def test_line_plan_is_native(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_bits_of_a_long_line(spark):
+    rng = np.random.default_rng(2)
+    docs = [(i, " ".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate((1, 2, 127, 128, 129, 700, 20000))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["first"]["doc"]: r["fp"] & (2**64 - 1) for r in lines.distinct_lines(lines.marked_lines(df, "doc_id", "text")).collect()}
+    pairs = sorted({p for _, t in docs for p in zip(t.split(), t.split()[1:])})
+    known = {tuple(r)[:2]: r["x"] & (2**64 - 1) for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("x")).collect()}
+    for i, t in docs[1:]:
+        h = [known[p] for p in zip(t.split(), t.split()[1:])]
+        assert got[i] == sum((2 * sum(x >> k & 1 for x in h) > len(h)) << k for k in range(64))
+    assert len(got) == len(docs)
+
+
 def test_lines_against_brute_force(spark):
     rng = np.random.default_rng(9)
     words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(300)]
@@ -155,7 +168,8 @@ def test_lines_against_brute_force(spark):
             w[k] = str(rng.choice(words))
         docs.append((i, " ".join(w) + "\n" + " ".join(rng.choice(words, 9))))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = lines.marked_lines(df, "doc_id", "text").collect()
+    marked = lines.marked_lines(df, "doc_id", "text")
+    rows = marked.select("doc", "pos", "h0", "h1").join(lines.distinct_lines(marked), ["h0", "h1"]).collect()
     text = {(i, k): t.split() for i, d in docs for k, t in enumerate(d.split("\n"))}
     at = sorted(text)
     fp = {(r["doc"], r["pos"]): r["fp"] & (2**64 - 1) for r in rows}
