@@ -31,54 +31,84 @@ def normalised(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @dataclass
 class SegmentIndex:
-    """Segments of benchmark items with the postings of their q-grams."""
+    """All regions of benchmark items, one from each byte on, with the postings of the items' q-grams."""
 
     q: int
     budget: int
-    item: np.ndarray  # item number of each segment
-    start: np.ndarray  # of each segment, in `text`
-    size: np.ndarray
-    edits: np.ndarray  # edit budget of each segment
+    at: np.ndarray  # start of each item in `text`
+    regions: np.ndarray  # how many each has
+    span: np.ndarray  # length of its regions
+    allowed: np.ndarray  # their edit budget
+    before: np.ndarray  # regions of the items before it
     text: np.ndarray
     grams: np.ndarray  # sorted distinct q-gram hashes
     first: np.ndarray  # bounds of their postings
-    post_seg: np.ndarray
+    post_item: np.ndarray
     post_off: np.ndarray
     maybe: np.ndarray  # bit table of the hashes' upper bits
 
+    @property
+    def item(self) -> np.ndarray:
+        """Item number of each region."""
+        return np.repeat(np.arange(len(self.regions)), self.regions)
+
+    @property
+    def start(self) -> np.ndarray:
+        """Start of each region, in `text`."""
+        item = self.item
+        return self.at[item] + np.arange(len(item)) - self.before[item]
+
+    @property
+    def size(self) -> np.ndarray:
+        return self.span[self.item]
+
+    @property
+    def edits(self) -> np.ndarray:
+        """Edit budget of each region."""
+        return self.allowed[self.item]
+
 
 def build_index(texts: pa.Array, q: int = 12, region: int = 100, rate: float = 0.06) -> SegmentIndex:
-    """Cut each item into regions of `region` bytes, half overlapping (a shorter item is one region), each with an edit
+    """Every run of `region` bytes of each item (a shorter item is one region), with an edit
     budget of rate x length, lowered where the lemma's count n + 1 - q - k q would fall under one. Items of fewer than q
-    bytes have no q-gram and are left out."""
+    bytes have no q-gram and no region."""
     buf, offs = normalised(*text_buffer(texts))
-    item, start, size = [], [], []
-    for i, (a, b) in enumerate(zip(offs[:-1], offs[1:])):
-        while b > a and buf[b - 1] == 32:
-            b -= 1
-        n = int(b - a)
-        if n < q:
-            continue
-        steps = [0] if n <= region else sorted({*range(0, n - region, region // 2), n - region})
-        for s in steps:
-            item.append(i)
-            start.append(int(a) + s)
-            size.append(min(n, region))
-    size = np.array(size, np.int64)
-    edits = np.minimum((size * rate).astype(np.int64), (size - q) // q)
+    at, n = offs[:-1].astype(np.int64), np.diff(offs).astype(np.int64)
+    full = np.flatnonzero(n)
+    n[full] -= buf[offs[1:][full] - 1] == 32
+    regions = np.where(n < q, 0, np.maximum(n - region, 0) + 1)
+    span = np.minimum(n, region)
+    allowed = np.maximum(np.minimum((span * rate).astype(np.int64), (span - q) // q), 0)
     h = SpanHash(buf).every(q) if len(buf) >= q else np.zeros(0, np.uint64)
-    seg = np.repeat(np.arange(len(size)), size - q + 1)
-    off = np.concatenate([np.arange(n - q + 1) for n in size]) if len(size) else np.zeros(0, np.int64)
-    gram = h[np.array(start, np.int64)[seg] + off] if len(seg) else np.zeros(0, np.uint64)
+    count = np.where(n < q, 0, n - q + 1)
+    item = np.repeat(np.arange(len(n)), count)
+    off = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    gram = h[at[item] + off] if len(item) else np.zeros(0, np.uint64)
     order = np.argsort(gram, kind="stable")
     grams, first = np.unique(gram[order], return_index=True)
     maybe = np.zeros(1 << 22, bool)
     maybe[(grams >> np.uint64(42)).astype(np.int64)] = True
-    return SegmentIndex(q, int(max(edits, default=0)), np.array(item, np.int64), np.array(start, np.int64), size, edits, buf, grams, np.append(first, len(gram)), seg[order], off[order], maybe)
+    return SegmentIndex(q, int(max(allowed, default=0)), at, regions, span, allowed, np.cumsum(regions) - regions, buf, grams, np.append(first, len(gram)), item[order], off[order], maybe)
+
+
+def _groups(*keys: np.ndarray) -> np.ndarray:
+    """Group number of each row of sorted keys."""
+    edge = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        edge[1:] |= k[1:] != k[:-1]
+    return np.cumsum(edge)
+
+
+def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of every value from low to high."""
+    n = np.maximum(high - low + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, low[row] + np.arange(len(row)) - (np.cumsum(n) - n)[row]
 
 
 def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, segment, edits) of every region of the index found in a slice of whole texts within its budget."""
+    """(text number, region, edits) of every region of the index found in a slice of whole texts within its budget. Regions
+    all of whose q-grams follow each other in the text need no alignment."""
     none = (np.zeros(0, np.int64),) * 3
     buf, offs = normalised(buf, offs)
     if len(buf) < x.q or not len(x.grams):
@@ -94,39 +124,66 @@ def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np
     at, g, doc = at[inside], g[inside], doc[inside]
     n = x.first[g + 1] - x.first[g]
     p = np.repeat(x.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    seg, diagonal, doc = x.post_seg[p], np.repeat(at, n) - x.post_off[p], np.repeat(doc, n)
-    if not len(seg):
+    item, off, doc = x.post_item[p], x.post_off[p], np.repeat(doc, n)
+    diagonal = np.repeat(at, n) - off
+    if not len(item):
         return none
+    order = np.lexsort((off, diagonal, item, doc))
+    doc, item, diagonal, off = doc[order], item[order], diagonal[order], off[order]
+    grams = x.span[item] - x.q  # of a region, less one
+    last = np.minimum(np.arange(len(off)) + grams, len(off) - 1)
+    group = _groups(doc, item, diagonal)
+    same = np.flatnonzero((group[last] == group) & (off[last] - off == grams))
+    exact = np.unique(np.stack([doc[same], x.before[item[same]] + off[same]], 1), axis=0)
     step = x.budget + 1  # bands are two steps wide and start at each step: any budget + 1 diagonals lie in one band
     band = np.concatenate([diagonal // step, diagonal // step - 1])
-    key = np.stack([np.tile(doc, 2), np.tile(seg, 2), band], 1)
-    key, count = np.unique(key, axis=0, return_counts=True)
-    enough = count >= x.size[key[:, 1]] + 1 - x.q - x.edits[key[:, 1]] * x.q
-    key = key[enough]
+    doc, item, off = np.tile(doc, 2), np.tile(item, 2), np.tile(off, 2)
+    order = np.lexsort((off, band, item, doc))
+    doc, item, band, off = doc[order], item[order], band[order], off[order]
+    group = _groups(doc, item, band)
+    need = x.span[item] + 1 - x.q - x.allowed[item] * x.q
+    last = np.minimum(np.arange(len(off)) + need - 1, len(off) - 1)
+    wide = x.span[item] - x.q
+    ok = np.flatnonzero((last - np.arange(len(off)) == need - 1) & (group[last] == group) & (off[last] - off <= wide))
+    low, high = np.maximum(off[last[ok]] - wide[ok], 0), np.minimum(off[ok], x.regions[item[ok]] - 1)
+    low[1:] = np.where(group[ok[1:]] == group[ok[:-1]], np.maximum(low[1:], high[:-1] + 1), low[1:])  # bounds rise in a group
+    row, start = _expanded(low, high)
+    row = ok[row]
+    key = np.stack([doc[row], x.before[item[row]] + start, band[row]], 1)
+    known = np.isin(key[:, 0] * int(x.regions.sum()) + key[:, 1], exact[:, 0] * int(x.regions.sum()) + exact[:, 1])
+    key, row, start = key[~known], row[~known], start[~known]
     found = np.full(len(key), -1, np.int64)
     for lo in range(0, len(key), 512):
-        part = key[lo : lo + 512]
-        found[lo : lo + 512] = align(buf, offs[part[:, 0]], offs[part[:, 0] + 1], part[:, 2] * step - x.budget, 2 * step + 2 * x.budget, x, part[:, 1])
-    ok = found <= x.edits[key[:, 1]]
-    return key[ok, 0], key[ok, 1], found[ok]
+        part, of = key[lo : lo + 512], item[row[lo : lo + 512]]
+        diag = part[:, 2] * step - x.budget + start[lo : lo + 512]
+        found[lo : lo + 512] = align(buf, offs[part[:, 0]], offs[part[:, 0] + 1], diag, 2 * step + 2 * x.budget, x, x.at[of] + start[lo : lo + 512], x.span[of], x.allowed[of])
+    ok = found <= x.allowed[item[row]]
+    return np.concatenate([exact[:, 0], key[ok, 0]]), np.concatenate([exact[:, 1], key[ok, 1]]), np.concatenate([np.zeros(len(exact), np.int64), found[ok]])
 
 
-def align(buf: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, width: int, x: SegmentIndex, seg: np.ndarray) -> np.ndarray:
-    """Least edit distance of each segment to any span of its text within `width` diagonals from `diagonal` on."""
-    m = x.size[seg]
+def align(buf: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, width: int, x: SegmentIndex, start: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Least edit distance of each region to any span of its text within `width` diagonals from `diagonal` on; a large number
+    where it exceeds `allowed`. Regions beyond it are dropped every few bytes."""
     lanes = np.arange(width)
-    cost = np.zeros((len(seg), width), np.int32)
-    best = np.full(len(seg), 1 << 20, np.int64)
-    for i in range(int(m.max())):
-        char = x.text[np.minimum(x.start[seg] + i, len(x.text) - 1)]
-        p = diagonal[:, None] + i + lanes
-        valid = (p >= low[:, None]) & (p < high[:, None])
+    cost = np.zeros((len(start), width), np.int32)
+    best = np.full(len(start), 1 << 20, np.int64)
+    live = np.arange(len(start))
+    for i in range(int(size.max())):
+        char = x.text[np.minimum(start[live] + i, len(x.text) - 1)]
+        p = diagonal[live, None] + i + lanes
+        valid = (p >= low[live, None]) & (p < high[live, None])
         differs = ~valid | (buf[np.clip(p, 0, len(buf) - 1)] != char[:, None])
         new = cost + differs
         new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
         cost = np.minimum.accumulate(new - lanes, axis=1) + lanes
-        done = m == i + 1
-        best[done] = cost[done].min(1)
+        done = size[live] == i + 1
+        if done.any():
+            best[live[done]] = cost[done].min(1)
+        if i % 8 == 7 or done.any():
+            stay = ~done & (cost.min(1) <= allowed[live])
+            live, cost = live[stay], cost[stay]
+            if not len(live):
+                break
     return best
 
 
@@ -148,13 +205,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def per_batch(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items, index = held.value
-            total = np.bincount(index.item, minlength=len(items))
+            total = index.regions
+            item_of = np.cumsum(total)
             for batch in batches:
                 for lo, _, buf, offs in text_slices(batch.column(1)):
                     doc, seg, edits = find_regions(buf, offs, index)
                     if not len(doc):
                         continue
-                    pair, at = np.unique(np.stack([doc, index.item[seg]], 1), axis=0, return_inverse=True)
+                    pair, at = np.unique(np.stack([doc, np.searchsorted(item_of, seg, side="right")], 1), axis=0, return_inverse=True)
                     at = at.ravel()
                     fewest = np.full(len(pair), 1 << 20, np.int64)
                     np.minimum.at(fewest, at, edits)

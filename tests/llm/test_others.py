@@ -203,3 +203,22 @@ def test_warc_finds_missing_segments(spark):
     out = warc.reassemble(spark.createDataFrame(rows, warc.PARSED)).first()
     assert out["whole"] is False
     assert warc.unchunked(warc.chunked(b"abc" * 5000)) == b"abc" * 5000 and warc.unchunked(b"5\r\nabc") is None and warc.unchunked(b"zz\r\n") is None
+
+
+def test_partial_passages_at_any_offset(spark):
+    rng = random.Random(12)
+    prose = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n)).replace("  ", "qz")
+    item = "x" + prose(398) + "y"
+    docs = [(k, f"{prose(70)}.{item[k : k + 130]}.{prose(70)}") for k in range(0, 270, 9)] + [(1000 + k, f"{prose(70)}.{item[k : k + 100]}.{prose(70)}") for k in range(3, 300, 7)]
+    for k in range(5, 295, 13):  # six edits at once, a letter each put in, left out and replaced
+        t = list(item[k : k + 100])
+        for e, at in enumerate(sorted(rng.sample(range(10, 90, 9), 6), reverse=True)):
+            t[at : at + 1] = [[t[at], "0"], [], ["9"]][e % 3]
+        docs.append((2000 + k, f"{prose(70)}.{''.join(t)}.{prose(70)}"))
+    clean = [(3000 + k, f"{prose(70)}.{item[k : k + 60]}.{prose(70)}") for k in range(0, 300, 50)]
+    df = spark.createDataFrame(docs + clean, DOCS)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {i for i, _ in docs}
+    assert all(got[i]["edits"] == 0 for i in got if i < 2000) and all(0 < got[i]["edits"] <= 6 for i in got if i >= 2000)
+    assert all(got[k]["regions"] >= 31 and got[k]["of_regions"] == 301 for k in range(0, 270, 9))
