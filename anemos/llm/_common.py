@@ -20,23 +20,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and read it back, so that a lost executor costs no recomputation of what
-    lies before. A folder of our own is made only where the session names none (tests on one machine)."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="anemos-"))
-    return df.checkpoint()
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share: what spark.checkpoint.dir names. Where it names none, a temporary folder serves a
+    session that runs on one machine; on a cluster that is an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="anemos-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="anemos-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's checkpoint folder and read it back, so that a lost executor costs no recomputation of what
+    lies before."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and offsets of a string column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -202,6 +204,13 @@ class SpanHash:
         return mix64((self.sums[length:] - self.sums[:-length]) * self.down[: len(self.sums) - length])
 
 
+def sized(df: DataFrame, lists: str | None = None, most: int = 1_000_000) -> DataFrame:
+    """df, which has been written, marked for broadcast if its rows and the items of its column `lists` are together at most `most`; a larger
+    one is joined by a shuffle."""
+    items = F.lit(1) if lists is None else F.lit(1) + F.coalesce(F.size(lists), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(items)).first()[0] or 0) <= most else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a large in-between result as Parquet in the shared folder and read it back: compressed, and with no lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
