@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from anemos.llm import lines, suffix
 from anemos.llm._common import labels_of
-from anemos.llm.neardup_vectors import calibrated_count, vector_groups
+from anemos.llm.neardup_vectors import calibrated_count, collision_rate, lists_needed, vector_groups
 from anemos.llm.simhash import near_fingerprints, simhash_dedup, simhash_groups
 
 EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "One"), (6, "a b c d e"), (6, "a b c d e"), (7, "word " * 30000)]
@@ -21,10 +21,11 @@ def test_vectors_against_brute_force(spark):
     for i in range(300):
         v = base[i % 60] + rng.standard_normal(16) * rng.choice([0.0, 0.02, 0.08, 0.5])
         rows.append((i, [float(np.float32(x)) for x in v], int(i % 3)))
-    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0] * 15 + [None], 1), (904, rows[0][1], None), (905, [1.0, 2.0], 1), (906, [2.0, 4.0], 1), (907, [1e38] * 16, 0), (908, [1.0] * 16, 0)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] + [1.0] * 15, 1), (903, [1.0] * 15 + [None], 1), (904, rows[0][1], None), (905, [1.0, 2.0], 1), (906, [2.0, 4.0], 1), (907, [1e38] * 16, 0), (908, [1.0] * 16, 0), (None, rows[0][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("links", F.lit("clash")).withColumn("id", F.lit(0))
     got = {r["vec_id"]: r for r in vector_groups(df, most=32).collect()}
-    use = [r for r in rows if r[1] and r[2] is not None and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
+    assert (got[None]["n_links"], got[None]["component_id"]) == (0, None)
+    use = [r for r in rows if r[1] and None not in (r[0], r[2]) and all(x is not None and np.isfinite(x) for x in r[1]) and any(r[1])]
     near = np.zeros((len(use),) * 2, bool)
     for i, a in enumerate(use):
         for j, b in enumerate(use):
@@ -42,8 +43,26 @@ def test_vectors_against_brute_force(spark):
 
 def test_calibration_misses_as_few_as_asked():
     rng = np.random.default_rng(1)
-    need = calibrated_count(24, 2.0, 1e-3)
-    assert ((np.abs(rng.standard_normal((40000, 24))) <= 2.0).sum(1) < need).mean() <= 2e-3
+    for p in (0.3, 0.6):
+        lists = lists_needed(p, 2, 1e-3)
+        assert (rng.binomial(lists, p, 40000) < 2).mean() <= 2e-3 and calibrated_count(lists, p, 1e-3) >= 2
+
+
+def test_vectors_at_the_threshold_collide_as_often_as_simulated():
+    assert 0.4 < collision_rate(64, 0.98, 2, 2 * 0.2 / 8, 3) < collision_rate(64, 0.98, 1, 2 * 0.2 / 8, 3) < 0.9
+
+
+def test_vectors_at_the_threshold_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.98005 * x + np.sqrt(1 - 0.98005**2) * z
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))]
+    got = vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).where("n_links = 1 AND component_id = vec_id % 1500").count()
+    assert got == 3000
 
 
 def fingerprint(text):
@@ -116,71 +135,116 @@ def test_repeats_against_brute_force(spark):
 
 def test_repeats_of_rows_without_id(spark):
     text = "abcdefghij" * 10
-    got = suffix.remove_repeats(spark.createDataFrame([(None, text), (1, text), (1, text)], "doc_id long, text string"), length=40, gram=12).collect()
-    assert sorted((r["doc_id"] is None, r["n_removed"]) for r in got) == [(False, 100), (False, 100), (True, 0)]
+    got = suffix.remove_repeats(spark.createDataFrame([(None, text), (1, text), (None, text), (None, "short"), (None, None)], "doc_id long, text string"), length=40, gram=12).collect()
+    assert sorted((r["doc_id"] is None, r["n_bytes"], r["n_removed"]) for r in got) == [(False, 100, 100), (True, 0, 0), (True, 5, 0), (True, 100, 100), (True, 100, 100)]
+
+
+def test_long_texts_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    part = "".join(rng.choice(list("abcde"), 300))
+    docs = [(1, "".join(rng.choice(list("abcde"), 700)) + part + "".join(rng.choice(list("abcde"), 333)) + part), (2, part[:150])]
+    buf = np.frombuffer(docs[0][1].encode(), np.uint8)
+    whole = suffix.anchors(buf, np.array([0, len(buf)]), 40, 12)
+    assert len(whole[0])
+    monkeypatch.setattr(suffix, "TURN", 64)
+    got = {r["doc_id"]: tuple(r[1:5]) + (bytes(r["kept"]),) for r in suffix.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length=40, gram=12).collect()}
+    assert got == brute_repeats(docs, 40, "none")
+
+
+def test_longest_previous_factors_against_brute_force():
+    rng = np.random.default_rng(3)
+    for letters in ("ab", "abcd"):
+        text = "".join(rng.choice(list(letters), 200))
+        order = np.array(sorted(range(len(text)), key=lambda i: text[i:]))
+        common = lambda i, j: next((k for k in range(len(text)) if text[i + k : i + k + 1] != text[j + k : j + k + 1] or i + k >= len(text) or j + k >= len(text)), len(text))
+        shared = np.array([0] + [common(order[k - 1], order[k]) for k in range(1, len(order))])
+        want = [max([common(i, j) for j in range(i)], default=0) for i in order]
+        assert suffix.longest_previous_factors(order, shared).tolist() == want
 
 
 def test_lines(spark):
     long = " ".join(f"word{i}" for i in range(50))
     near = long.replace("word7 ", "other ")
-    docs = [(1, f"{long}\nfirst only\n---"), (2, f"{near}\nsecond only here"), (3, f"FIRST only\n{long.upper()}\n\n---"), (4, None), (5, ""), (6, "\n\n"), (7, "totally different words in this line")]
-    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("pos", F.lit("clash")).withColumn("n_lines", F.lit(-1))
-    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in lines.dedup_lines(df).collect()}
-    assert got[1] == (f"{long}\nfirst only\n---", 3, 0)
-    assert got[3] == ("", 4, 3) and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("\n\n", 3, 0) and got[7][2] == 0
-    fps = lines.distinct_lines(lines.marked_lines(df, "doc_id", "text")).withColumn("part", F.col("id"))
-    assert got[2][2] == (1 if lines.candidates(fps, 12, 0.8).count() else 0)
+    docs = [(1, f"{long}\nfirst only\n---"), (2, f"{near}\nsecond only here"), (3, f"FIRST only\n{long.upper()}\n\n---"), (4, None), (5, ""), (6, "\n\n"), (7, "totally different words in this line"), (None, "first only\nno id"), (None, f"no id\n{long}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("pos", "n_lines", "gone_doc", "gone_lines", "block")})
+    out = lines.dedup_lines(df)
+    rows = [(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out.collect()]
+    got = {r[0]: r[1:] for r in rows if r[0] is not None}
+    kept = [line for r in rows if r[1] for line in r[1].split("\n") if line.strip()]
+    assert len(kept) == 6 and {"---", "second only here", "totally different words in this line", "no id"} <= set(kept)
+    assert sum(r[3] for r in rows) == 7 and got[4] == (None, 0, 0) and got[5] == ("", 1, 0) and got[6] == ("\n\n", 3, 0) and got[7][2] == 0
+    assert out.columns == df.drop("n_lines").columns + ["n_lines", "n_removed"]
     assert lines.dedup_lines(df.where("false")).count() == 0
 
 
-def test_line_similarity_counts_words(spark):
-    row = spark.range(1).select(F.levenshtein(lines.as_characters(lines.words_of(F.lit("a b c d e"))), lines.as_characters(lines.words_of(F.lit("A b x  d e f")))).alias("d")).first()
-    assert row["d"] == 2
-
-
 def test_line_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a b\nc d")], "doc_id long, text string")
     plan = lines.marked_lines(df, "doc_id", "text")._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
-def test_bits_of_a_long_line(spark):
+def test_line_fingerprints(spark):
     rng = np.random.default_rng(2)
-    docs = [(i, " ".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate((1, 2, 127, 128, 129, 700, 20000))]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["first"]["doc"]: r["fp"] & (2**64 - 1) for r in lines.distinct_lines(lines.marked_lines(df, "doc_id", "text")).collect()}
-    pairs = sorted({p for _, t in docs for p in zip(t.split(), t.split()[1:])})
-    known = {tuple(r)[:2]: r["x"] & (2**64 - 1) for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("x")).collect()}
-    for i, t in docs[1:]:
-        h = [known[p] for p in zip(t.split(), t.split()[1:])]
+    rows = [(i, [str(w) for w in rng.choice(list("abcdefgh"), n)]) for i, n in enumerate((1, 2, 127, 128, 129, 700, 20000))]
+    got = {r["id"]: r["fp"] & (2**64 - 1) for r in lines.simhashes(spark.createDataFrame(rows, "id long, words array<string>")).collect()}
+    known = {r["w"]: r["x"] & (2**64 - 1) for r in spark.createDataFrame([(c,) for c in "abcdefgh"], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
+    for i, words in rows:
+        h = [known[w] for w in words]
         assert got[i] == sum((2 * sum(x >> k & 1 for x in h) > len(h)) << k for k in range(64))
-    assert len(got) == len(docs)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
 
 
 def test_lines_against_brute_force(spark):
+    """All pairs, with no blocks: lines of 2 to 60 words with words replaced, put in and left out, up to the threshold and beyond."""
     rng = np.random.default_rng(9)
-    words = ["".join(rng.choice(list("abcdef"), 5)) for _ in range(300)]
-    base = [" ".join(rng.choice(words, 60)) for _ in range(5)]
-    docs = []
-    for i in range(60):
-        w = base[i % 5].split()
-        for k in rng.choice(60, rng.integers(0, 3), replace=False):
-            w[k] = str(rng.choice(words))
-        docs.append((i, " ".join(w) + "\n" + " ".join(rng.choice(words, 9))))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    marked = lines.marked_lines(df, "doc_id", "text")
-    rows = marked.select("doc", "pos", "h0", "h1").join(lines.distinct_lines(marked), ["h0", "h1"]).collect()
-    text = {(i, k): t.split() for i, d in docs for k, t in enumerate(d.split("\n"))}
-    at = sorted(text)
-    fp = {(r["doc"], r["pos"]): r["fp"] & (2**64 - 1) for r in rows}
-
-    def similar(a, b):
-        blocks = any(fp[a] >> 16 * k & 0xFFFF == fp[b] >> 16 * k & 0xFFFF for k in range(4))
-        if not blocks or (fp[a] ^ fp[b]).bit_count() > 12 or len(text[a]) != len(text[b]):
-            return False
-        return sum(x != y for x, y in zip(text[a], text[b])) <= 0.2 * len(text[a])
-
-    near = np.array([[i != j and similar(a, b) for j, b in enumerate(at)] for i, a in enumerate(at)])
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(2000)]
+    found = []
+    for _ in range(70):
+        base = [str(w) for w in rng.choice(words, rng.choice([3, 5, 8, 12, 20, 60]))]
+        found.append(base)
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.integers(0, len(base) // 4 + 2)):
+                k = int(rng.integers(0, len(w)))
+                w[k : k + 1] = [[str(rng.choice(words))], [w[k], str(rng.choice(words))], []][rng.integers(0, 3)] if len(w) > 1 else w[k : k + 1]
+            found.append(w)
+        typo = list(base)
+        typo[0] = typo[0][:-1] + "z"
+        found.append(typo)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(found)], "doc_id long, text string")
+    near = np.zeros((len(found),) * 2, bool)
+    for i, a in enumerate(found):
+        for j in range(i):
+            b, longer = found[j], max(len(a), len(found[j]))
+            if a == b or min(len(a), len(b)) >= 0.8 * longer and edits(a, b) <= 0.2 * longer + 1e-9:
+                near[i, j] = near[j, i] = True
+            elif longer <= 12 and i // 5 == j // 5:
+                s, t = " ".join(a), " ".join(b)
+                near[i, j] = near[j, i] = edits(s, t) <= 0.2 * max(len(s), len(t)) + 1e-9
     root = labels_of(near)
-    want = {at[i] for i in range(len(at)) if root[i] != i}
-    assert {(r["doc"], r["pos"]) for r in lines.repeated_lines(df).collect()} == want and len(want) > 20
+    want = {i for i in range(len(found)) if root[i] != i}
+    got = {r["doc"]["id"] for r in lines.repeated_lines(df).select("doc").collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 100
+
+
+def test_line_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(4000)]
+    docs = []
+    for k in range(400):
+        n = [10, 20, 50, 100][k % 4]
+        base = [str(w) for w in rng.choice(words, n)]
+        near = list(base)
+        for at in rng.choice(n, n // 5, replace=False):
+            near[at] = str(rng.choice(words))
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    got = {r["doc"]["id"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc").collect()}
+    assert len(got) >= 0.9 * 400 and all(i % 2 for i in got)
