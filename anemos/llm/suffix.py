@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anemos.llm._common import SpanHash, stored, text_buffer, text_slices
+from anemos.llm._common import SpanHash, checkpointed, stored, text_buffer, text_slices
 
 #: Bits of an anchor's order that hold its position.
 PLACE = np.uint64((1 << 28) - 1)
@@ -155,13 +155,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text + first)), pa.array((lo + turn).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.astype(np.uint64).view(np.int64)), pa.array(ctx.astype(np.uint64).view(np.int64))], names=["doc", "lo", "n", "h", "ctx"])
 
     found = stored(rows.mapInArrow(find, ANCHORS), "anchors")
-    by_anchor = found.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("runs > 1").select("h", "mixed")
+    by_anchor = checkpointed(found.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("runs > 1").select("h", "mixed"))  # written, so that the join can split a common anchor's rows
     marked = stored(found.join(by_anchor, "h"), "shared-anchors")
     contexts = stored(marked.groupBy("h", "ctx").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc", "lo")).alias("least"), F.max("n").alias("n"), F.max("mixed").alias("mixed")), "anchor-contexts")
     span = [F.col("doc"), F.col("lo"), (F.col("lo") + F.col("n") - 1 + length).alias("hi")]
     settled = marked.join(contexts.where("copies > 1").select("h", "ctx", "least"), ["h", "ctx"]).where(F.struct("doc", "lo") != F.col("least") if keep == "first" else F.lit(True)).select(*span)
     open_ = contexts.where("mixed").select("least.doc", "least.lo", "n", "h", (F.col("copies") > 1).alias("copied"))
-    crowd = open_.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > most).select("h", F.lit(True).alias("crowded"))
+    crowd = checkpointed(open_.groupBy("h").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > most).select("h", F.lit(True).alias("crowded")))
     wanted = open_.join(crowd, "h", "left").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "n", "h", "copied", F.coalesce("crowded", F.lit(False)).alias("crowded")))).alias("wanted"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +215,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(0)[i].as_py())), pa.array((lo + np.arange(n)).astype(np.int32)), pa.array(np.full(n, batch.column(3)[i].as_py())), *map(pa.array, w)], names=["doc", "at", "copied", "w0", "w1"])
 
     windows = stored(fetched.where("crowded").select("doc", "lo", "n", "copied", "piece").mapInArrow(explode, "doc bigint, at int, copied boolean, w0 bigint, w1 bigint"), "crowded-windows")
-    many = windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "at")).alias("least")).where("times > 1")
+    many = checkpointed(windows.groupBy("w0", "w1").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "at")).alias("least")).where("times > 1"))
     repeated = windows.join(many, ["w0", "w1"]).where(F.struct("doc", "at") != F.col("least") if keep == "first" else ~F.col("copied"))
     return settled.unionByName(compared).unionByName(repeated.select("doc", F.col("at").alias("lo"), (F.col("at") + length).alias("hi")))
 

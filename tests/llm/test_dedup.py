@@ -185,11 +185,11 @@ def test_line_plan_is_native(spark):
 
 def test_line_fingerprints(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, [str(w) for w in rng.choice(list("abcdefgh"), n)]) for i, n in enumerate((1, 2, 127, 128, 129, 700, 20000))]
-    got = {r["id"]: r["fp"] & (2**64 - 1) for r in lines.simhashes(spark.createDataFrame(rows, "id long, words array<string>")).collect()}
+    rows = [(i, "".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate((1, 2, 127, 128, 129, 700, 20000))]
+    got = {r["id"]: r["fp"] & (2**64 - 1) for r in lines.simhashes(spark.createDataFrame(rows, "id long, codes string")).collect()}
     known = {r["w"]: r["x"] & (2**64 - 1) for r in spark.createDataFrame([(c,) for c in "abcdefgh"], "w string").select("w", F.xxhash64("w").alias("x")).collect()}
-    for i, words in rows:
-        h = [known[w] for w in words]
+    for i, codes in rows:
+        h = [known[w] for w in codes]
         assert got[i] == sum((2 * sum(x >> k & 1 for x in h) > len(h)) << k for k in range(64))
 
 
