@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anemos.llm._common import LOWER, SpanHash, text_buffer, text_slices
+from anemos.llm._common import LOWER, SpanHash, checkpointed, sized, text_buffer, text_slices
 
 KEPT = np.zeros(256, bool)
 KEPT[48:58] = KEPT[97:123] = KEPT[128:] = True
+#: Pairs of equal q-grams that are held at once.
+HITS = 1 << 21
 
 
 def normalised(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,6 +48,7 @@ class SegmentIndex:
     post_item: np.ndarray
     post_off: np.ndarray
     maybe: np.ndarray  # bit table of the hashes' upper bits
+    alike: np.ndarray  # for each start in `text`: how many regions of the item have this region's bytes, told at the first of them
 
     @property
     def item(self) -> np.ndarray:
@@ -68,27 +71,71 @@ class SegmentIndex:
         return self.allowed[self.item]
 
 
-def build_index(texts: pa.Array, q: int = 12, region: int = 100, rate: float = 0.06) -> SegmentIndex:
-    """Every run of `region` bytes of each item (a shorter item is one region), with an edit
-    budget of rate x length, lowered where the lemma's count n + 1 - q - k q would fall under one. Items of fewer than q
-    bytes have no q-gram and no region."""
+def build_index(texts: pa.Array, q: int = 12, region: int = 100, rate: float = 0.06, least: int = 0, most: int = 1 << 40) -> SegmentIndex:
+    """Every run of `region` bytes of each item (a shorter item is one region), with an edit budget of rate x length, for items of
+    `least` to `most` normalised bytes. Regions of an item with the same bytes are looked for once. Only q-grams of
+    regions that are looked for have postings."""
     buf, offs = normalised(*text_buffer(texts))
     at, n = offs[:-1].astype(np.int64), np.diff(offs).astype(np.int64)
     full = np.flatnonzero(n)
     n[full] -= buf[offs[1:][full] - 1] == 32
-    regions = np.where(n < q, 0, np.maximum(n - region, 0) + 1)
+    n[(n < max(least, q)) | (n > most)] = 0
+    regions = np.where(n == 0, 0, np.maximum(n - region, 0) + 1)
     span = np.minimum(n, region)
-    allowed = np.maximum(np.minimum((span * rate).astype(np.int64), (span - q) // q), 0)
-    h = SpanHash(buf).every(q) if len(buf) >= q else np.zeros(0, np.uint64)
-    count = np.where(n < q, 0, n - q + 1)
-    item = np.repeat(np.arange(len(n)), count)
-    off = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
-    gram = h[at[item] + off] if len(item) else np.zeros(0, np.uint64)
+    allowed = (span * rate).astype(np.int64)
+    of = np.repeat(np.arange(len(n)), regions)
+    start = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(regions) - regions, regions)
+    spans = SpanHash(buf)
+    same = spans(start, start + span[of])
+    order = np.lexsort((start, same, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (same[order][1:] != same[order][:-1])
+    alike = np.zeros(len(buf) + 1, np.int64)
+    heads = np.flatnonzero(new)
+    alike[start[order[heads]]] = np.diff(np.append(heads, len(order)))
+    covered = np.zeros(len(buf) + 1, np.int64)
+    head = order[heads]
+    np.add.at(covered, start[head], 1)
+    np.add.at(covered, start[head] + span[of[head]] - q + 1, -1)
+    place = np.flatnonzero(np.cumsum(covered) > 0)  # starts of q-grams in regions that are looked for
+    item = np.searchsorted(offs[1:], place, side="right")
+    gram = spans.every(q)[place] if len(place) else np.zeros(0, np.uint64)
     order = np.argsort(gram, kind="stable")
     grams, first = np.unique(gram[order], return_index=True)
     maybe = np.zeros(1 << 22, bool)
     maybe[(grams >> np.uint64(42)).astype(np.int64)] = True
-    return SegmentIndex(q, int(max(allowed, default=0)), at, regions, span, allowed, np.cumsum(regions) - regions, buf, grams, np.append(first, len(gram)), item[order], off[order], maybe)
+    return SegmentIndex(q, int(max(allowed, default=0)), at, regions, span, allowed, np.cumsum(regions) - regions, buf, grams, np.append(first, len(gram)), item[order], (place - at[item])[order], maybe, alike)
+
+
+def short_items(texts: pa.Array, most: int) -> dict[int, dict[bytes, list[int]]]:
+    """Items of fewer than `most` normalised bytes, by their length."""
+    buf, offs = normalised(*text_buffer(texts))
+    out: dict[int, dict[bytes, list[int]]] = {}
+    for i, (lo, hi) in enumerate(zip(offs[:-1], offs[1:])):
+        text = buf[lo:hi].tobytes().rstrip(b" ") if hi - lo <= most else b""
+        if 0 < len(text) < most:
+            out.setdefault(len(text), {}).setdefault(text, []).append(i)
+    return out
+
+
+def find_short(buf: np.ndarray, offs: np.ndarray, items: dict[int, dict[bytes, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, item) of every short item that stands in a text as whole words."""
+    buf, offs = normalised(buf, offs)
+    space = np.append(buf == 32, True)
+    first = np.zeros(len(buf) + 1, bool)
+    first[offs] = True
+    begins, ends = first[:-1] | np.append(True, space[:-2])[: len(buf)], first | space
+    found = []
+    for n, of_length in items.items():
+        at = np.flatnonzero(begins[: max(0, len(buf) - n + 1)])
+        at = at[ends[at + n] & (at + n <= offs[np.searchsorted(offs, at, side="right").clip(max=len(offs) - 1)])]
+        hashes = SpanHash(buf)(at, at + n) if len(at) else np.zeros(0, np.uint64)
+        for text, numbers in of_length.items():
+            want = SpanHash(np.frombuffer(text, np.uint8))(np.array([0]), np.array([n]))[0]
+            docs = np.unique(np.searchsorted(offs[1:], at[hashes == want], side="right"))
+            found += [(d, i) for d in docs for i in numbers]
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _groups(*keys: np.ndarray) -> np.ndarray:
@@ -107,8 +154,9 @@ def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, region, edits) of every region of the index found in a slice of whole texts within its budget. Regions
-    all of whose q-grams follow each other in the text need no alignment."""
+    """(text number, region, edits) of every region of the index found in a slice of whole texts within its budget; equal regions of an
+    item are told once, and a region may be told several times. Where texts and items have more than HITS pairs of equal q-grams, they are taken
+    in overlapping pieces of text and index, halved until the pairs are few enough; any occurrence lies whole in a piece."""
     none = (np.zeros(0, np.int64),) * 3
     buf, offs = normalised(buf, offs)
     if len(buf) < x.q or not len(x.grams):
@@ -122,18 +170,42 @@ def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np
     doc = np.searchsorted(offs[1:], at, side="right")
     inside = at + x.q <= offs[doc + 1]
     at, g, doc = at[inside], g[inside], doc[inside]
-    n = x.first[g + 1] - x.first[g]
-    p = np.repeat(x.first[g] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    if not len(at):
+        return none
+    size = len(x.text) + 1
+    posting = np.repeat(np.arange(len(x.grams)), np.diff(x.first)) * size + x.at[x.post_item] + x.post_off  # rises
+    reach = int(x.span.max()) + x.budget + x.q
+    out, todo = [], [(0, int(at[-1]) + 1, 0, size)]
+    while todo:
+        lo, hi, low, high = todo.pop()
+        rows = slice(*np.searchsorted(at, [lo, hi]))
+        first, last = np.searchsorted(posting, g[rows] * size + low), np.searchsorted(posting, g[rows] * size + high)
+        if (last - first).sum() <= HITS or max(hi - lo, high - low) <= 2 * reach:
+            out.append(_in_piece(buf, offs, x, at[rows], doc[rows], first, last - first))
+        elif hi - lo >= high - low:
+            middle = (lo + hi) // 2
+            todo += [(lo, middle + reach, low, high), (middle, hi, low, high)]
+        else:
+            middle = (low + high) // 2
+            todo += [(lo, hi, low, middle + reach), (lo, hi, middle, high)]
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def _in_piece(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex, at: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """find_regions among the postings first to first + n of the q-grams at `at`. Regions all of whose q-grams follow each other in the
+    text need no alignment."""
+    p = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
     item, off, doc = x.post_item[p], x.post_off[p], np.repeat(doc, n)
     diagonal = np.repeat(at, n) - off
     if not len(item):
-        return none
+        return (np.zeros(0, np.int64),) * 3
     order = np.lexsort((off, diagonal, item, doc))
     doc, item, diagonal, off = doc[order], item[order], diagonal[order], off[order]
     grams = x.span[item] - x.q  # of a region, less one
     last = np.minimum(np.arange(len(off)) + grams, len(off) - 1)
     group = _groups(doc, item, diagonal)
     same = np.flatnonzero((group[last] == group) & (off[last] - off == grams))
+    same = same[x.alike[x.at[item[same]] + off[same]] > 0]
     exact = np.unique(np.stack([doc[same], x.before[item[same]] + off[same]], 1), axis=0)
     step = x.budget + 1  # bands are two steps wide and start at each step: any budget + 1 diagonals lie in one band
     band = np.concatenate([diagonal // step, diagonal // step - 1])
@@ -149,6 +221,8 @@ def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np
     low[1:] = np.where(group[ok[1:]] == group[ok[:-1]], np.maximum(low[1:], high[:-1] + 1), low[1:])  # bounds rise in a group
     row, start = _expanded(low, high)
     row = ok[row]
+    looked = x.alike[x.at[item[row]] + start] > 0
+    row, start = row[looked], start[looked]
     key = np.stack([doc[row], x.before[item[row]] + start, band[row]], 1)
     known = np.isin(key[:, 0] * int(x.regions.sum()) + key[:, 1], exact[:, 0] * int(x.regions.sum()) + exact[:, 1])
     key, row, start = key[~known], row[~known], start[~known]
@@ -187,40 +261,55 @@ def align(buf: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarr
     return best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 12, region: int = 100, rate: float = 0.06, part_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", q: int = 12, short_q: int = 8, region: int = 100, rate: float = 0.06, part_bytes: int = 4 << 20) -> DataFrame:
     """(id_col, item_col, regions, of_regions, edits): pairs of a document and a benchmark item of which it holds a region of
     `region` normalised bytes (or the whole item, if shorter) within rate x length edits; how many of the item's regions were
     found, of how many, and the fewest edits. Case, punctuation and spacing don't count.
 
-    Items are read in parts of about part_bytes, so what a task holds doesn't grow with the benchmark; each part is one pass
-    over the documents. Null and empty texts hold nothing and match nothing; items under q normalised bytes can't match;
-    repeated rows of a document are one; extra columns are not read.
+    Items of under 3 q bytes are looked for by grams of short_q bytes, so that the lemma holds for their whole budget; items of under short_q bytes
+    have no budget and are found as whole words. Items are read in parts of about part_bytes, so what a task holds doesn't grow with
+    the benchmark; each part is one pass over the documents, and its results are written before the next. Null and
+    empty texts hold nothing and match nothing; repeated rows of a document are one; long texts are taken whole; an empty table on
+    either side gives an empty result; extra columns are not read.
     """
     kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField(item_col, item_kind), T.StructField("regions", T.LongType()), T.StructField("of_regions", T.LongType()), T.StructField("edits", T.LongType())])
     rows = docs.select(id_col, text_col)
     out = None
-    for ids, texts in _parts(benchmark.select(item_col, item_text), part_bytes):
-        held = docs.sparkSession.sparkContext.broadcast((pa.array(ids), build_index(pa.array(texts, pa.string()), q, region, rate)))
+    parts = _parts(benchmark.select(item_col, item_text), part_bytes)
+    part = next(parts, None)
+    while part is not None:
+        texts = pa.array(part[1], pa.string())
+        indexes = [x for x in (build_index(texts, q, region, rate, least=3 * q), build_index(texts, short_q, region, rate, most=3 * q - 1)) if len(x.grams)]
+        held = docs.sparkSession.sparkContext.broadcast((pa.array(part[0]), indexes, short_items(texts, short_q)))
 
         def per_batch(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items, index = held.value
-            total = index.regions
-            item_of = np.cumsum(total)
+            items, indexes, short = held.value
             for batch in batches:
                 for lo, _, buf, offs in text_slices(batch.column(1)):
-                    doc, seg, edits = find_regions(buf, offs, index)
-                    if not len(doc):
-                        continue
-                    pair, at = np.unique(np.stack([doc, np.searchsorted(item_of, seg, side="right")], 1), axis=0, return_inverse=True)
-                    at = at.ravel()
-                    fewest = np.full(len(pair), 1 << 20, np.int64)
-                    np.minimum.at(fewest, at, edits)
-                    once = np.unique(np.stack([at, seg], 1), axis=0)[:, 0]
-                    regions = np.bincount(once, minlength=len(pair))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0] + lo)), items.take(pa.array(pair[:, 1])).cast(pa_type(item_kind)), pa.array(regions), pa.array(total[pair[:, 1]]), pa.array(fewest)], names=schema.names)
+                    for index in indexes:
+                        doc, seg, edits = find_regions(buf, offs, index)
+                        if not len(doc):
+                            continue
+                        total = index.regions
+                        pair, at = np.unique(np.stack([doc, np.searchsorted(np.cumsum(total), seg, side="right")], 1), axis=0, return_inverse=True)
+                        at = at.ravel()
+                        fewest = np.full(len(pair), 1 << 20, np.int64)
+                        np.minimum.at(fewest, at, edits)
+                        of, seg = np.unique(np.stack([at, seg], 1), axis=0).T
+                        item = pair[of, 1]
+                        regions = np.bincount(of, weights=index.alike[index.at[item] + seg - index.before[item]], minlength=len(pair)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pair[:, 0] + lo)), items.take(pa.array(pair[:, 1])).cast(pa_type(item_kind)), pa.array(regions), pa.array(total[pair[:, 1]]), pa.array(fewest)], names=schema.names)
+                    if short:
+                        doc, item = find_short(buf, offs, short)
+                        one = pa.array(np.ones(len(doc), np.int64))
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc + lo)), items.take(pa.array(item)).cast(pa_type(item_kind)), one, one, pa.array(np.zeros(len(doc), np.int64))], names=schema.names)
 
         found = rows.mapInArrow(per_batch, schema)
+        part = next(parts, None)
+        if part is not None or out is not None:  # more than one part: none is held longer than its pass takes
+            found = checkpointed(found)
+            held.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         return docs.sparkSession.createDataFrame([], schema)
@@ -248,6 +337,9 @@ def _parts(items: DataFrame, most: int) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that hold no region of any benchmark item, with all their columns."""
-    return docs.join(contaminated(docs, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents that hold no region of any benchmark item, with all their columns. A document is its id, which may be null, and
+    its text; rows that repeat both go or stay together."""
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    held = contaminated(docs.select(key.alias("held"), text_col), benchmark, "held", text_col, **options).select("held").distinct()
+    return docs.join(sized(checkpointed(held)), key == F.col("held"), "left_anti").select(docs.columns)

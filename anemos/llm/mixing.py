@@ -5,14 +5,19 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anemos.llm._common import checkpointed
+from anemos.llm._common import checkpointed, sized
 
 #: Blocks of a source, and sub-blocks of the block in which its quota ends. Both bound what one window sorts.
 BLOCKS = 1024
+#: Groups of sources, by hash, whose units are split on the driver; those of a group's sources are split in a task.
+GROUPS = 1024
+#: Rows of a small table that is broadcast; a longer one is joined by a shuffle.
+BROADCAST = 200_000
 
 
 def word_count(text: Column) -> Column:
@@ -61,17 +66,17 @@ def targets(sizes: DataFrame, pattern: tuple[int, ...] = (1, 2, 3), most: int =
 
 def plan_mix(docs: DataFrame, seed: str = "mix:", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     """Sizes are summed by source, block and sub-block in one pass with partial sums; all else is derived from those sums."""
-    d = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *_blocks(id_col, seed))
+    d = docs.select(F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *_blocks(id_col, text_col, seed))
     sums = checkpointed(d.groupBy("source", "b1", "b2").agg(F.sum("size").alias("words")))
     sizes = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     sources = checkpointed(targets(sizes).withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")))
-    same = lambda t: F.broadcast(t.withColumnRenamed("source", "of"))
+    same = lambda t: sized(t.withColumnRenamed("source", "of"), most=BROADCAST)
     ranked = sums.groupBy("source", "b1").agg(F.sum("words").alias("words")).withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.md5(F.concat(F.lit(seed), F.coalesce("source", F.lit("")), F.lit("/"), F.col("b1").cast("string"))), "b1")))
     up_to = W.partitionBy("source").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
     by_size = W.partitionBy("source", "whole").orderBy("words", "b1").rowsBetween(W.unboundedPreceding, 0)
     each = W.partitionBy("source")
-    b = ranked.withColumn("cum", F.sum("words").over(up_to)).join(same(sources.select("source", "full", "rest")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    b = ranked.withColumn("cum", F.sum("words").over(up_to)).join(same(sources).select("of", "full", "rest"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     b = b.withColumn("whole", F.col("cum") <= F.col("rest")).withColumn("ends", ~F.col("whole") & (F.col("cum") - F.col("words") <= F.col("rest")))
     b = b.withColumn("room", F.col("rest") - F.coalesce(F.sum(F.when(F.col("whole"), F.col("words"))).over(each), F.lit(0)))
     b = b.withColumn("fits", ~F.col("whole") & (F.sum("words").over(by_size) <= F.col("room")))
@@ -79,14 +84,14 @@ def plan_mix(docs: DataFrame, seed: str = "mix:", id_col: str = "doc_id", text_c
     b = b.withColumn("chosen", F.col("whole") | F.col("fits")).withColumn("unit", F.row_number().over(each.orderBy(F.when(F.col("chosen") | F.col("ends"), 0).otherwise(1), "rank")))
     blocks = checkpointed(b.select("source", "b1", "unit", "full", "chosen", "ends", "room"))
     ends = blocks.where("ends").select(F.col("source").alias("of"), F.col("b1").alias("of_b1"), "room")
-    inner = sums.join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("of")) & (F.col("b1") == F.col("of_b1")))
+    inner = sums.join(sized(ends, most=BROADCAST), F.col("source").eqNullSafe(F.col("of")) & (F.col("b1") == F.col("of_b1")))
     step = W.partitionBy("source").orderBy("words", "b2").rowsBetween(W.unboundedPreceding, 0)
     subs = checkpointed(inner.withColumn("cum", F.sum("words").over(step)).where("cum <= room").select("source", "b1", "b2"))
     return Mix(sources, blocks, subs, seed)
 
 
-def _blocks(id_col: str, seed: str) -> list[Column]:
-    text = F.col(id_col).cast("string")
+def _blocks(id_col: str, text_col: str, seed: str) -> list[Column]:
+    text = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("no id "), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     return [_part(text, seed, 0).alias("b1"), _part(text, seed, 1).alias("b2")]
 
 
@@ -101,48 +106,67 @@ def split_tree(units: np.ndarray, shards: int, rng: np.random.Generator) -> np.n
     return np.concatenate([split_tree(take, left, rng), split_tree(units - take, shards - left, rng)])
 
 
-def mix_sources(docs: DataFrame, shards: int = 8, seed: str = "mix:", most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_sources: int = 500) -> DataFrame:
+def shard_bounds(units: DataFrame, shards: int, seed: str) -> DataFrame:
+    """(of, bounds): for each source of units (source, n) how many of its units lie in shards up to each one, as the splitting tree draws
+    them. The tree's first branches split the units of groups of sources, at most GROUPS of them, on the driver; the last ones those of each
+    source of a group, in a task. The draws of the parts of a hypergeometric draw are hypergeometric too."""
+    units = units.withColumn("grp", F.pmod(F.xxhash64(F.coalesce("source", F.lit("no source"))), F.lit(GROUPS)).cast("int"))
+    totals = {r["grp"]: r["n"] for r in units.groupBy("grp").agg(F.sum("n").alias("n")).collect()}
+    first = int.from_bytes(seed.encode()[:8].ljust(8), "big")
+    groups = sorted(totals)
+    quotas = split_tree(np.array([totals[g] for g in groups], np.int64), shards, np.random.default_rng(first)) if groups else np.zeros((shards, 0), np.int64)
+    of_group = units.sparkSession.createDataFrame([(g, [int(x) for x in quotas[:, i]]) for i, g in enumerate(groups)], "grp int, quotas array<long>")
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("source", na_position="last", kind="stable")
+        rng = np.random.default_rng([first % (1 << 32), int(rows["grp"].iloc[0])])
+        left, taken = rows["n"].to_numpy().astype(np.int64), np.zeros(len(rows), np.int64)
+        bounds = []
+        for quota in rows["quotas"].iloc[0]:
+            draw = rng.multivariate_hypergeometric(left, int(quota), method="marginals") if quota else np.zeros(len(rows), np.int64)
+            left, taken = left - draw, taken + draw
+            bounds.append(taken)
+        return pd.DataFrame({"of": rows["source"].to_numpy(), "bounds": [[int(x) for x in b] for b in np.stack(bounds, 1)]})
+
+    return units.join(F.broadcast(of_group), "grp").groupBy("grp").applyInPandas(split, "of string, bounds array<long>")
+
+
+def mix_sources(docs: DataFrame, shards: int = 8, seed: str = "mix:", most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs' columns plus mix_size (words), mix_source_size, mix_target, mix_times (0 to `most`), mix_taken and mix_shards
     (output shard of each time). A document is taken whole, 0 to `most` times.
 
     Each source is cut into at most 1,024 blocks by a digest of the id; its quota is so many whole epochs and, of one more
     epoch, the blocks of a permutation that still fit in turn, then those of the rest that fit by size, then sub-blocks of the
-    block at which the turn ended. A taken block is a unit; units per source are split among the shards by a tree of multivariate hypergeometric draws, and each shard gets
-    the next units of the source's permutation. So reruns agree, whatever the partitioning. Sources are few (checked against
-    max_sources); the small tables are broadcast, so texts are not shuffled.
+    block at which the turn ended. A taken block is a unit; units per source are split among the shards by a tree of multivariate
+    hypergeometric draws, and each shard gets the next units of the source's permutation. A document is taken as often as its
+    block was drawn for a shard. So reruns agree, whatever the partitioning. The tables of sources and blocks are broadcast
+    where they are small; otherwise documents are joined by source and block.
 
-    Null text: 0 words. Null source: a source of its own, last. Null ids share one block. Empty table: empty result. Rows of
-    one id are taken alike. A document of 0 words goes with its block. Input columns that start with `mix_` are replaced.
+    Null text: 0 words. Null source: a source of its own, last. A null id: its text's digest stands for it. Empty table: empty result.
+    Rows of one id are taken alike. A document of 0 words goes with its block. Input columns that start with `mix_` are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
     plan = plan_mix(docs, seed, id_col, text_col, source_col)
-    known = plan.sources.select("source").orderBy(F.col("source").asc_nulls_last()).limit(max_sources + 1).collect()
-    if len(known) > max_sources:
-        raise ValueError(f"more than {max_sources} sources; group them first")
-    names = [r["source"] for r in known]
-    units = {r["source"]: r["n"] for r in plan.blocks.groupBy("source").agg(F.sum(F.col("full") + (F.col("chosen") | F.col("ends")).cast("int")).cast("long").alias("n")).collect()}
-    rng = np.random.default_rng(int.from_bytes(seed.encode()[:8].ljust(8), "big"))
-    bounds = np.cumsum(split_tree(np.array([units.get(s, 0) for s in names], np.int64), shards, rng), axis=0) if names else np.zeros((shards, 0))
-    quotas = docs.sparkSession.createDataFrame([(s, [int(x) for x in bounds[:, i]]) for i, s in enumerate(names)], "of string, bounds array<long>")
-    per_source = W.partitionBy("source")
-    units_of = plan.blocks.withColumn("n_blocks", F.count(F.lit(1)).over(per_source)).join(F.broadcast(quotas), F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    shard = lambda unit: F.least(F.size(F.filter("bounds", lambda b: b <= unit)), F.lit(shards - 1))
-    epochs = F.sequence(F.lit(0), F.lit(most))
-    all_shards = F.transform(epochs, lambda e: shard((e * F.col("n_blocks") + F.col("unit") - 1).cast("long")))
-    info = plan.sources.select(F.col("source").alias("of"), "source_size", "target")
+    units = plan.blocks.groupBy("source").agg(F.sum(F.col("full") + (F.col("chosen") | F.col("ends")).cast("int")).cast("long").alias("n"))
+    bounds = sized(checkpointed(shard_bounds(units, shards, seed)), most=BROADCAST)
+    units_of = plan.blocks.withColumn("n_blocks", F.count(F.lit(1)).over(W.partitionBy("source"))).join(bounds, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    shard = lambda unit: F.when(unit < F.element_at("bounds", -1), F.size(F.filter("bounds", lambda b: b <= unit)))
+    drawn = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda e: shard((e * F.col("n_blocks") + F.col("unit") - 1).cast("long"))))
+    info = sized(plan.sources.select(F.col("source").alias("of"), "source_size", "target"), most=BROADCAST)
     key = lambda source, block: F.struct(F.col(source).alias("s"), F.col(block).alias("b"))
-    table = units_of.join(F.broadcast(info), F.col("source").eqNullSafe(F.col("of"))).select(
-        key("source", "b1").alias("mix_k"), F.col("full").alias("mix_full"), F.col("chosen").alias("mix_chosen"), F.col("ends").alias("mix_ends"),
-        F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), all_shards.alias("mix_all_shards"),
+    table = units_of.join(info, F.col("source").eqNullSafe(F.col("of"))).select(
+        key("source", "b1").alias("mix_k"), F.col("ends").alias("mix_ends"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), drawn.alias("mix_drawn")
     )
     table = checkpointed(table)
-    subs = plan.subs.select(key("source", "b1").alias("mix_sub_k"), F.col("b2").alias("mix_sub"), F.lit(True).alias("mix_hit"))
-    b1, b2 = _blocks(id_col, seed)
+    subs = checkpointed(plan.subs.select(key("source", "b1").alias("mix_sub_k"), F.col("b2").alias("mix_sub"), F.lit(True).alias("mix_hit")))
+    b1, b2 = _blocks(id_col, text_col, seed)
     keyed = docs.withColumns({"mix_size": word_count(F.col(text_col)), "mix_b1": b1, "mix_b2": b2})
-    d = keyed.join(F.broadcast(table), F.col("mix_k").eqNullSafe(key(source_col, "mix_b1")))
-    d = d.join(F.broadcast(subs), F.col("mix_ends") & F.col("mix_sub_k").eqNullSafe(F.col("mix_k")) & (F.col("mix_sub") == F.col("mix_b2")), "left")
-    times = F.col("mix_full") + (F.col("mix_chosen") | F.coalesce("mix_hit", F.lit(False))).cast("int")
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", times.alias("mix_times"), (F.col("mix_size") * times).alias("mix_taken"), F.slice("mix_all_shards", F.lit(1), times).alias("mix_shards"))
+    d = keyed.join(sized(table, most=BROADCAST), F.col("mix_k").eqNullSafe(key(source_col, "mix_b1")))
+    d = d.join(sized(subs, most=BROADCAST), F.col("mix_ends") & F.col("mix_sub_k").eqNullSafe(F.col("mix_k")) & (F.col("mix_sub") == F.col("mix_b2")), "left")
+    last_missed = (F.col("mix_ends") & F.col("mix_hit").isNull()).cast("int")  # of the block at which the turn ended, only some sub-blocks are in the last epoch
+    taken = F.slice("mix_drawn", F.lit(1), F.greatest(F.size("mix_drawn") - last_missed, F.lit(0)))
+    out = d.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", taken.alias("mix_shards"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_size", "mix_source_size", "mix_target", F.size("mix_shards").alias("mix_times"), (F.col("mix_size") * F.size("mix_shards")).alias("mix_taken"), "mix_shards")
 
 
 def draw_mix(docs: DataFrame, **options) -> DataFrame:

@@ -66,8 +66,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(_table(spark, sf_dir, "pages"), folder)
-    found = read_warc(spark, folder)
-    return found.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"), "complete")
+    found = read_warc(spark, folder, payloads=False)
+    return found.select(F.col("page_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").try_cast("long").alias("refers_to"), "complete")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

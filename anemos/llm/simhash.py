@@ -154,7 +154,8 @@ def near_fingerprints(fps: DataFrame, radius: int = 4, most: int = 1024) -> Data
         steps = [F.when(field(i) < 2, h + F.lit(1 << 2 * i)) for i in range(16)] + [F.when(field(i) > 0, h - F.lit(1 << 2 * i)) for i in range(16)]
         return F.array_compact(F.array(h, *steps))
 
-    cells = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("half"), around(half[k]).alias("cells")) for k in (0, 1)])).alias("s"))
+    spread = fps.repartition("fp")  # the points are few and become 66 rows each
+    cells = spread.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("half"), around(half[k]).alias("cells")) for k in (0, 1)])).alias("s"))
     cells = cells.select("fp", "s.half", F.explode("s.cells").alias("cell"))
     keys = ["half", "cell", "tile_i", "tile_j"]
     tiled = tiles(cells, ["half", "cell"], "fp", most).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
@@ -178,8 +179,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(groups, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4, similarity: float | None = None) -> DataFrame:
     """The rows of docs that stay when one document of each group is kept, that with the smallest id; all columns pass.
-    Ids must not be null; rows of one id are kept or go together."""
+    Rows without an id always stay; rows of one id are kept or go together.
+
+    Groups are those of simhash_groups. With a `similarity`, documents are instead linked by the exact Jaccard similarity of their
+    five-word shingles: SimHash within `radius` bits proposes pairs first, and MinHash bands what lies further apart (see
+    minhash.shingle_links)."""
+    if similarity is not None:
+        from anemos.llm.minhash import shingle_dedup
+
+        return shingle_dedup(docs, id_col, text_col, similarity, radius)
     gone = simhash_groups(docs, id_col, text_col, shingle, radius).where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(gone, id_col, "left_anti")

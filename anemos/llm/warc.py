@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from anemos.llm._common import stored
+
 END = b"\r\n\r\n"
-PARSED = "record_id string, type string, origin string, segment int, total long, refers_to string, digest string, uri string, block binary"
+PARSED = "record_id string, type string, origin string, segment int, total long, refers_to string, digest string, uri string, sound boolean, block binary"
 PAGES = "page_id string, url string, record_type string, refers_to string, payload binary, payload_bytes long, payload_digest string, complete boolean"
 
 
@@ -43,9 +45,9 @@ def unchunked(body: bytes) -> bytes | None:
         at = line + 4 + n
 
 
-def records(page_id: str, url: str | None, payload: bytes | None, length: int, digest: str, first: str | None, segment_bytes: int) -> Iterator[bytes]:
+def records(page_id: str | None, url: str | None, payload: bytes | None, length: int, digest: str, first: str | None, segment_bytes: int) -> Iterator[bytes]:
     """The WARC records of one page without their final blank lines: a revisit, or a response in one or several segments."""
-    name = f"<urn:page:{page_id}:{uuid.uuid4()}>"
+    name = f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}:{uuid.uuid4()}>"
     target = f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', '_', url)}\r\n" if url else ""
     shared = f"WARC-Date: 2024-01-01T00:00:00Z\r\n{target}WARC-Payload-Digest: sha256:{digest}\r\nContent-Type: application/http;msgtype=response\r\n"
     if first is not None:
@@ -65,20 +67,21 @@ def records(page_id: str, url: str | None, payload: bytes | None, length: int, d
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_revisit: int = 100, segment_bytes: int = 16 << 10, file_bytes: int = 32 << 20) -> None:
     """Write a WARC record for each row to gzipped files of about file_bytes under path. Of rows with equal payloads of at
     least least_revisit bytes, those with the smallest id are responses and the others revisit it. Null html is an empty
-    payload, a null url has no target; a null id counts as the text "null". Rows that repeat an id and payload are alike. Only
-    (id, digest, length) is grouped and joined to find revisits; a payload is shuffled once, by id.
+    payload, a null url has no target. A row without an id revisits one that has an id, and is a response where none has. Rows that repeat
+    an id and payload are alike. An empty table makes no record. Only (id, digest, length) is grouped and joined to find
+    revisits; a payload is shuffled once, by id and digest.
 
     A record ends with an empty line twice, which is the line separator of Spark's text writer.
     """
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    key, nameless = F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull()
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    slim = pages.select(F.col(id_col).alias("id"), key.alias("key"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+    slim = pages.select(F.col(id_col).alias("id"), key.alias("key"), nameless.alias("nameless"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     total = slim.agg(F.sum("n")).first()[0] or 0
-    firsts = slim.where(F.col("n") >= least_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    revisits = slim.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key", "digest").agg(F.min(F.col("first").cast("string")).alias("first"))
+    firsts = slim.where(F.col("n") >= least_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1 AND first IS NOT NULL")
+    revisits = slim.join(firsts, "digest").where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("key", "nameless", "digest").agg(F.min(F.col("first").cast("string")).alias("first"))
     parts = max(1, -(-total // file_bytes))
-    rows = pages.select(key.alias("key"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
-    rows = rows.repartition(parts, "key").join(revisits, ["key", "digest"], "left")
+    rows = pages.select(key.alias("key"), nameless.alias("nameless"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+    rows = rows.repartition(parts, "key", "nameless", "digest").join(revisits, ["key", "nameless", "digest"], "left")
     rows = rows.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,32 +97,76 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    made = rows.select("key", "url", "payload", "digest", "n", "first").mapInArrow(build, "value binary")
+    made = rows.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "url", "payload", "digest", "n", "first").mapInArrow(build, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
-def parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, in PARSED's columns."""
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        stop = data.find(END, at)
+def inflated(data: bytes, piece: int = 1 << 18) -> Iterator[bytes]:
+    """The content of a file, some at a time: of all members if it is gzipped, as far as they are sound."""
+    if data[:2] != b"\x1f\x8b":
+        yield from (data[i : i + piece] for i in range(0, len(data), piece))
+        return
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            while data and not member.eof:
+                yield member.decompress(data, piece)
+                data = member.unconsumed_tail
+            yield member.flush()
+        except zlib.error:
+            return
+        data = member.unused_data.lstrip(b"\0") if member.eof else b""
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and re.fullmatch(r"[0-9]{1,18}", value) else None
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
+    """The records of an archive, in PARSED's columns, with no more than a record and a piece held. A record is not `sound` if its
+    content is cut short or a number in its header can't be read; after a length that can't be read, the next record begins at the next
+    place that names the format."""
+    held, more = bytearray(), True
+
+    def fill() -> None:
+        nonlocal more
+        piece = next(pieces, None)
+        more = piece is not None
+        held.extend(piece or b"")
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0 and more:
+            del held[: max(0, len(held) - 4)]
+            fill()
+        if at < 0:
+            return
+        del held[:at]
+        while (stop := held.find(END)) < 0 and more:
+            fill()
         if stop < 0:
             return
         head = {}
-        for line in data[at:stop].split(b"\r\n")[1:]:
+        for line in bytes(held[:stop]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             head[name.strip().lower()] = value.strip().decode("utf-8", "replace")
-        n = int(head.get(b"content-length", 0))
-        block = data[stop + 4 : stop + 4 + n]
+        n = _number(head.get(b"content-length"))
+        del held[: stop + 4]
+        while n is not None and len(held) < n and more:
+            fill()
+        block = b"" if n is None else bytes(held[:n])
+        del held[: len(block)]
         segment, total = head.get(b"warc-segment-number"), head.get(b"warc-segment-total-length")
-        yield (head.get(b"warc-record-id"), head.get(b"warc-type"), head.get(b"warc-segment-origin-id"), int(segment) if segment else None, int(total) if total else None, head.get(b"warc-refers-to"), head.get(b"warc-payload-digest"), head.get(b"warc-target-uri"), block)
-        at = stop + 4 + n
+        number, whole = _number(segment), _number(total)
+        number = number if (number or 0) < 1 << 31 else None
+        sound = n == len(block) and (segment is None) == (number is None) and (total is None) == (whole is None)
+        yield (head.get(b"warc-record-id"), head.get(b"warc-type"), head.get(b"warc-segment-origin-id"), number, whole, head.get(b"warc-refers-to"), head.get(b"warc-payload-digest"), head.get(b"warc-target-uri"), sound, block)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under path, in PARSED's columns. Files are read whole, one at a time."""
+    """Every record of the archives under path, plain or gzipped in one or many members, in PARSED's columns. Spark hands over a file as one
+    value; it is unzipped and parsed a piece at a time."""
     schema = T.StructType.fromDDL(PARSED)
-    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.binary()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema.names)
@@ -127,9 +174,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column(0)[i].as_py()
                 rows, size = [], 0
-                for row in parse(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for row in parse(inflated(batch.column(0)[i].as_py() or b"")):
                     rows.append(row)
                     size += len(row[-1])
                     if size > 4 << 20:
@@ -138,53 +184,61 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
-    return files.select("content").mapInArrow(per_batch, schema)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(per_batch, schema)
 
 
 def reassemble(parsed: DataFrame) -> DataFrame:
-    """Records with continuations joined to their first segment: grouped by origin, ordered by segment number; `whole` is
-    false where a number is missing or repeated, or the total length differs. A group is the segments of one record."""
-    plain = parsed.where(F.col("segment").isNull()).withColumn("whole", F.lit(True))
+    """Records with the blocks of their segments in order (`blocks`): grouped by origin, ordered by segment number. `whole` is
+    false where a number is missing or repeated or a segment isn't sound; `total` is the length that the last one tells, -1 if none does. A group is the
+    segments of one record."""
+    cols = ["type", "refers_to", "digest", "uri"]
+    plain = parsed.where(F.col("segment").isNull()).select(F.col("record_id").alias("name"), *cols, F.array("block").alias("blocks"), F.lit(None).cast("long").alias("total"), F.col("sound").alias("whole"))
     segments = parsed.where(F.col("segment").isNotNull()).withColumn("name", F.coalesce("origin", "record_id"))
     lead = lambda c: F.max(F.when(F.col("segment") == 1, F.col(c))).alias(c)
-    joined = segments.groupBy("name").agg(*[lead(c) for c in ("type", "refers_to", "digest", "uri")], F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"))
+    joined = segments.groupBy("name").agg(*[lead(c) for c in cols], F.max(F.coalesce("total", F.lit(-1))).alias("total"), F.min("sound").alias("sound"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("s"))
+    in_turn = F.transform("s", lambda x: x["segment"]) == F.sequence(F.lit(1), F.size("s"))
+    return plain.unionByName(joined.select("name", *cols, F.transform("s", lambda x: x["block"]).alias("blocks"), "total", (in_turn & F.col("sound")).alias("whole")))
 
-    @F.pandas_udf("binary")
-    def concatenated(blocks):
-        return blocks.map(lambda b: b"".join(bytes(x) for x in b))
 
-    numbers = F.transform("s", lambda x: x["segment"])
-    joined = joined.withColumn("block", concatenated(F.transform("s", lambda x: x["block"])))
-    whole = (numbers == F.sequence(F.lit(1), F.size("s"))) & (F.octet_length("block") == F.col("total"))
-    joined = joined.withColumn("whole", F.coalesce(whole, F.lit(False)))
-    cols = ["type", "refers_to", "digest", "uri", "block", "whole"]
-    return plain.select(F.col("record_id").alias("name"), *cols).unionByName(joined.select("name", *cols))
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The pages of the archives under path, in PAGES' columns: payloads reassembled, unchunked and held against their
-    digest (`complete`). A revisit has no payload of its own; its length and digest are those of the page it refers to."""
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """The pages of the archives under path, in PAGES' columns: those of responses, resources and revisits, payloads reassembled, unchunked
+    and held against their digest (`complete`). A page's id is null where its record doesn't tell one. A revisit has no payload
+    of its own; its length and digest are held against those of the page it refers to. Records cut short or with a header that can't
+    be read are not complete; other kinds of records are left out. Without `payloads` they are not returned, and files are read
+    once rather than twice."""
     schema = T.StructType.fromDDL(PAGES)
 
+    def named(record: str | None) -> str | None:
+        return record.removeprefix("<urn:page:").removesuffix(">") if record and record.startswith("<urn:page:") else None
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for i in range(batch.num_rows):
-                name, kind, refers, digest, uri, block, whole = (c[i].as_py() for c in batch.columns)
+                name, kind, refers, digest, uri, blocks, total, whole = (c[i].as_py() for c in batch.columns)
+                block = b"".join(blocks)
+                whole = bool(whole) and (total is None or total == len(block))
                 head, _, body = block.partition(END)
                 lower = head.lower()
                 digest = (digest or "").removeprefix("sha256:")
-                page = (name or "").removeprefix("<urn:page:").rsplit(":", 1)[0]
+                page = named(name)
+                page = page.rsplit(":", 1)[0] if page is not None else None
                 if kind == "revisit":
-                    length = re.search(rb"content-length: *(\d+)", lower)
-                    rows.append((page, uri, kind, (refers or "").removeprefix("<urn:page:").removesuffix(">"), None, int(length[1]) if length else None, digest, bool(whole and length)))
+                    length = re.search(rb"content-length: *(\d{1,18})\b", lower)
+                    rows.append((page, uri, kind, named(refers), None, int(length[1]) if length else None, digest, bool(whole and length)))
                 else:
                     payload = unchunked(body) if b"transfer-encoding: chunked" in lower else body
-                    sound = bool(whole) and payload is not None and hashlib.sha256(payload).hexdigest() == digest
-                    rows.append((page, uri, kind, None, payload, None if payload is None else len(payload), digest if payload is None else hashlib.sha256(payload).hexdigest(), sound))
+                    found = None if payload is None else hashlib.sha256(payload).hexdigest()
+                    rows.append((page, uri, kind, None, payload if payloads else None, None if payload is None else len(payload), found or digest, whole and found == digest))
             kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=schema.names)
 
-    return reassemble(read_records(spark, path)).select("name", "type", "refers_to", "digest", "uri", "block", "whole").mapInArrow(per_batch, schema)
+    kept = reassemble(read_records(spark, path)).where(F.col("type").isin("response", "resource", "revisit"))
+    pages = kept.select("name", "type", "refers_to", "digest", "uri", "blocks", "total", "whole").mapInArrow(per_batch, schema)
+    if not payloads:
+        pages = stored(pages.drop("payload"), "warc-pages")
+    held = pages.where("record_type <> 'revisit' AND complete").select(F.col("page_id").alias("refers_to"), "payload_digest", F.lit("revisit").alias("record_type"), F.col("payload_bytes").alias("held_bytes")).distinct()
+    out = pages.join(held, ["refers_to", "payload_digest", "record_type"], "left")
+    sound = F.col("complete") & ((F.col("record_type") != "revisit") | F.coalesce(F.col("held_bytes") == F.col("payload_bytes"), F.lit(False)))
+    return out.select(*[sound.alias(c) if c == "complete" else c for c in pages.columns])

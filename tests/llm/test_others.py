@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import math
 import random
 import zlib
@@ -197,9 +199,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_pages_without_id(spark, tmp_path):
+    rows = [(None, "u", "x" * 300), (None, "u", "x" * 300), (5, "u", "x" * 300), (None, "u", "y" * 300), (None, "u", "y" * 300), (None, None, None)]
+    warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = sorted((r["page_id"] or "", r["record_type"], r["refers_to"] or "", r["payload_bytes"], r["complete"]) for r in warc.read_warc(spark, str(tmp_path / "w"), payloads=False).collect())
+    assert got == [("", "response", "", 0, True), ("", "response", "", 300, True), ("", "response", "", 300, True), ("", "revisit", "5", 300, True), ("", "revisit", "5", 300, True), ("5", "response", "", 300, True)]
+
+
+def test_warc_of_others(spark, tmp_path):
+    """Files of one member a record, broken headers, records cut short, revisits of nothing."""
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    record = lambda kind, head, block, n=None: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{head.split(':')[-1]}>\r\n{head}\r\nContent-Length: {len(block) if n is None else n}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    digest = lambda body: f"WARC-Payload-Digest: sha256:{hashlib.sha256(body).hexdigest()}"
+    records = [
+        record("warcinfo", "X: 1", b"software: x"),
+        record("response", digest(b"one"), http + b"one"),
+        record("response", digest(b"two"), http + b"two", "many"),
+        record("response", "WARC-Segment-Number: first", http + b"three"),
+        record("revisit", f"WARC-Refers-To: <urn:page:77>\r\n{digest(b'gone')}", b"HTTP/1.1 200 OK\r\nContent-Length: 4\r\n\r\n"),
+        record("response", digest(b"four"), http + b"four", 900),
+    ]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[:2]))
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(records))[:-40])
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sum(r["complete"] for r in got) >= 2 and all(bytes(r["payload"]) == b"one" for r in got if r["complete"])
+    assert sum(not r["complete"] for r in got) >= 4
+
+
 def test_warc_finds_missing_segments(spark):
     block = b"HTTP/1.1 200 OK\r\n\r\nabc"
-    rows = [("<urn:page:1:u>", "response", None, 1, None, None, "sha256:0", None, block[:10]), ("x", "continuation", "<urn:page:1:u>", 3, len(block), None, None, None, block[10:])]
+    rows = [("<urn:page:1:u>", "response", None, 1, None, None, "sha256:0", None, True, block[:10]), ("x", "continuation", "<urn:page:1:u>", 3, len(block), None, None, None, True, block[10:])]
     out = warc.reassemble(spark.createDataFrame(rows, warc.PARSED)).first()
     assert out["whole"] is False
     assert warc.unchunked(warc.chunked(b"abc" * 5000)) == b"abc" * 5000 and warc.unchunked(b"5\r\nabc") is None and warc.unchunked(b"zz\r\n") is None
