@@ -68,6 +68,12 @@ def predict_multiple(data: DataFrame, params: DataFrame, xs: list[str], name: st
     return data.withColumn(name, reduce(lambda a, b: a + b, [F.col(x) * p[x] for x in xs]) + p["offset"])
 
 
+def fit_r2_multiple(data: DataFrame, params: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """(r2) of a fit of several references."""
+    rows = predict_multiple(data.dropna(subset=[*xs, y]), params, xs, "_p")
+    return rows.agg(_r2(F.col(y), F.col("_p")).alias("r2"))
+
+
 def fit_r2(data: DataFrame, params: DataFrame, x: str, y: str) -> DataFrame:
     """(r2) of a one-row linear fit."""
     rows = data.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(F.broadcast(params.select("slope", "offset")))
@@ -130,15 +136,24 @@ def speedsort_cutoff(long_term_mean: float) -> float:
     return min(0.5 * long_term_mean, 4.0)
 
 
+def ranked(rows: DataFrame, group: str, value: str, step: float = 0.01) -> DataFrame:
+    """rows with their rank `rn` by value in their group. Values are cut into bins of `step`; a row's rank is its rank in the bin and the
+    rows in the bins before it, so that a group's rows are never sorted in one task."""
+    binned = rows.withColumn("_bin", F.floor(F.col(value) / step))
+    before = F.sum("_n").over(W.partitionBy(group).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1))
+    counts = binned.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    inside = F.row_number().over(W.partitionBy(group, "_bin").orderBy(value))
+    return binned.join(counts, [group, "_bin"]).withColumn("rn", inside + F.col("_before")).drop("_bin", "_before")
+
+
 def speedsort_fit(data: DataFrame, ref_speed: str, target_speed: str, ref_direction: str, target_direction: str, cutoff: float, sectors: int = 12) -> DataFrame:
     """(sector, slope, offset, target_cutoff, n, n_above, veer, n_veer): in each sector of the reference's direction both speeds
     are ranked by themselves and paired by rank; the pairs before the first reference value from the cutoff on are dropped, and
     the line goes through the means of both halves of the rest. Veer is the mean turn of the target where both speeds reach
     half of 6 + half their mean. Numbers are rounded to 5 places."""
     rows = data.dropna(subset=[ref_speed, target_speed, ref_direction]).withColumn("sector", sector(F.col(ref_direction), sectors))
-    rank = lambda c: F.row_number().over(W.partitionBy("sector").orderBy(c))
-    xs = rows.select("sector", F.col(ref_speed).alias("x"), rank(ref_speed).alias("rn"))
-    ys = rows.select("sector", F.col(target_speed).alias("y"), rank(target_speed).alias("rn"))
+    xs = ranked(rows, "sector", ref_speed).select("sector", F.col(ref_speed).alias("x"), "rn")
+    ys = ranked(rows, "sector", target_speed).select("sector", F.col(target_speed).alias("y"), "rn")
     pairs = xs.join(ys, ["sector", "rn"])
     first = pairs.groupBy("sector").agg(F.coalesce(F.min(F.when(F.col("x") >= cutoff, F.col("rn"))), F.lit(1)).alias("first"), F.count(F.lit(1)).alias("n"))
     above = pairs.join(F.broadcast(first), "sector").where("rn >= first").withColumn("half", F.floor((F.col("n") - F.col("first") + 1) / 2)).withColumn("at", F.col("rn") - F.col("first"))
@@ -190,6 +205,26 @@ def adjust_low_reference(data: DataFrame, turn: float, ref_speed: str, target_sp
     return data.withColumn(ref_direction, F.when(low, wrap(F.col(target_direction) - turn)).otherwise(F.col(ref_direction)))
 
 
+def speedsort_prepare(data: DataFrame, ref_speed: str, target_speed: str, ref_direction: str, target_direction: str, calms: bool = True, seed: int = 0, ts: str = "ts") -> DataFrame:
+    """Merged data as SpeedSort fits it: directions of calms are drawn (unless `calms` is false), then the reference's direction is taken from the
+    target, less the overall veer, where the reference is low and the target is not."""
+    if calms:
+        data = randomize_calms(randomize_calms(data, ref_speed, ref_direction, seed=seed, ts=ts), target_speed, target_direction, seed=seed + 1, ts=ts)
+    turn = overall_veer(data, ref_speed, target_speed, ref_direction, target_direction).first()["veer"]  # one number
+    return data if turn is None else adjust_low_reference(data, turn, ref_speed, target_speed, ref_direction, target_direction)
+
+
+def speedsort(ref: DataFrame, target: DataFrame, ref_speed: str, ref_direction: str, target_speed: str, target_direction: str, period: str, threshold: float | None = 0.9, sectors: int = 12, long_term: float | None = None, calms: bool = True, seed: int = 0, ts: str = "ts") -> tuple[DataFrame, float]:
+    """(parameters, cutoff): both sides averaged and merged by period, prepared and fitted. The cutoff follows from the reference's long-term mean:
+    `long_term`, or the mean of monthly means of the merged reference. Names of the columns of both sides must differ."""
+    dirs = (ref_direction,), (target_direction,)
+    merged = merge_by_period(ref.select(ts, ref_speed, ref_direction), target.select(ts, target_speed, target_direction), period, *dirs, threshold_1=threshold, threshold_2=threshold, ts=ts)
+    mean = long_term if long_term is not None else momm(merged.select(ts, ref_speed), [ref_speed], ts=ts).first()["momm"]
+    cutoff = speedsort_cutoff(mean)
+    prepared = speedsort_prepare(merged, ref_speed, target_speed, ref_direction, target_direction, calms, seed, ts)
+    return speedsort_fit(prepared, ref_speed, target_speed, ref_direction, target_direction, cutoff, sectors), cutoff
+
+
 def speedsort_synthesize(ref: DataFrame, target: DataFrame, params: DataFrame, ref_speed: str, ref_direction: str, target_speed: str, target_direction: str, cutoff: float, sectors: int = 12, ts: str = "ts") -> DataFrame:
     """(ts, <speed>_Synthesized, <direction>_Synthesized): the target where it has values, else the prediction; no speed under 0."""
     p = predict_direction(speedsort_predict(ref, params, ref_speed, ref_direction, cutoff, sectors), params, ref_direction, sectors)

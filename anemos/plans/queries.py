@@ -535,14 +535,20 @@ def q71_speedsort_predict(s, d):
     return R.speedsort_predict(ref_daily(s, d), params, "spd", "dir", cut).select("ts", "predicted")
 
 
-@query(SORTED + """, kn AS (SELECT i::INT AS i, a.veer AS va, b.veer AS vb FROM range(12) x(i) LEFT JOIN fit a ON a.sector = i + 1 LEFT JOIN fit b ON b.sector = (i + 1) % 12 + 1),
-tu AS (SELECT ts, dir, dir / 30 - i AS f, va, vb FROM (SELECT *, CAST(floor(dir / 30) AS INT) AS i FROM ref_daily) JOIN kn USING (i)), nw AS (SELECT ts, dir + CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN va + (vb - va) * f WHEN va IS NOT NULL AND f < 0.5 THEN va WHEN vb IS NOT NULL AND f >= 0.5 THEN vb END AS p FROM tu)
-SELECT ts, CASE WHEN p < 0 THEN p + 360 WHEN p > 360 THEN p % 360 ELSE p END AS predicted_direction FROM nw""", "predicted_direction")
+TURNED = """, kn AS (SELECT i::INT AS i, a.veer AS va, b.veer AS vb FROM range(12) x(i) LEFT JOIN fit a ON a.sector = i + 1 LEFT JOIN fit b ON b.sector = (i + 1) % 12 + 1),
+tu AS (SELECT ts, dir, dir / 30 - i AS f, va, vb FROM (SELECT *, CAST(floor(dir / 30) AS INT) AS i FROM ref_daily) JOIN kn USING (i)), nw AS (SELECT ts, dir + CASE WHEN va IS NOT NULL AND vb IS NOT NULL THEN va + (vb - va) * f WHEN va IS NOT NULL AND f < 0.5 THEN va WHEN vb IS NOT NULL AND f >= 0.5 THEN vb END AS p FROM tu),
+turned AS (SELECT ts, CASE WHEN p < 0 THEN p + 360 WHEN p > 360 THEN p % 360 ELSE p END AS predicted_direction FROM nw)"""
+SPEEDS = f"SELECT ts, CASE WHEN spd < cut THEN (slope * cut + \"offset\") * spd / cut ELSE slope * spd + \"offset\" END AS predicted FROM (SELECT *, {SECTOR} AS sector FROM ref_daily) LEFT JOIN fit USING (sector), k"
+
+
+@query(SORTED + TURNED + "SELECT * FROM turned", "predicted_direction")
 def q72_veer(s, d):
     return R.predict_direction(ref_daily(s, d), _speedsort(s, d)[0], "dir").select("ts", "predicted_direction")
 
 
-@query()
+@query(SORTED + TURNED + f""", pv AS ({SPEEDS})
+SELECT ts, CASE WHEN coalesce(t.spd, predicted) < 0 THEN 0 ELSE coalesce(t.spd, predicted) END AS "t_Synthesized", coalesce(t.dir, predicted_direction) AS "tdir_Synthesized"
+FROM tgt_daily t FULL JOIN (SELECT ts, predicted, predicted_direction FROM (SELECT ts FROM ref_daily) LEFT JOIN pv USING (ts) LEFT JOIN turned USING (ts)) USING (ts)""", '"t_Synthesized" "tdir_Synthesized"')
 def q73_speedsort_synthesize(s, d):
     params, cut = _speedsort(s, d)
     ref = ref_daily(s, d).select("ts", F.col("spd").alias("r"), "dir")
@@ -550,6 +556,19 @@ def q73_speedsort_synthesize(s, d):
     return R.speedsort_synthesize(ref, tgt, params, "r", "dir", "t", "tdir", cut)
 
 
+VEERED = """, cu AS (SELECT 0.5 * (6 + 0.5 * avg(r)) AS lr, 0.5 * (6 + 0.5 * avg(t)) AS lt FROM dd), ov AS (SELECT round(avg(CASE WHEN tdir - dir > 180 THEN tdir - dir - 360 WHEN tdir - dir < -180 THEN tdir - dir + 360 ELSE tdir - dir END), 5) AS veer FROM dd, cu WHERE r >= lr AND t >= lt) """
+
+
+@query(MERGED + VEERED + "SELECT veer FROM ov", "veer")
+def q74_overall_veer(s, d):
+    return R.overall_veer(_daily(s, d), "r", "t", "dir", "tdir")
+
+
+@query(MERGED + VEERED + "SELECT ts, CASE WHEN r < 2 AND t > r + 4 THEN CASE WHEN tdir - veer < 0 THEN tdir - veer + 360 WHEN tdir - veer > 360 THEN (tdir - veer) % 360 ELSE tdir - veer END ELSE dir END AS dir FROM dd, ov", "dir")
+def q75_speedsort_prepared(s, d):
+    return R.speedsort_prepare(_daily(s, d), "r", "t", "dir", "tdir", calms=False).select("ts", "dir")
+
+
 # ---- shear ----
 Z = [80.0, 60.0, 40.0]
 U = ["spd80", "spd60", "spd40"]

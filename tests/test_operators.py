@@ -268,3 +268,31 @@ def test_chart_data(spark):
     assert {r["value"] for r in H.steps(hours).where("hour = 0").collect()} == {0.2}
     calm = df.withColumn("ts", F.lit(datetime(2020, 1, 1)))
     assert R.randomize_calms(calm, "x", "d", 1.5).exceptAll(R.randomize_calms(calm.repartition(3), "x", "d", 1.5)).count() == 0
+
+
+def test_speedsort_in_one(spark):
+    start = datetime(2020, 1, 1)
+    rows = [(start + timedelta(hours=i), 4 + (i * 37 % 100) / 10, float(i * 53 % 360)) for i in range(2000)]
+    ref = spark.createDataFrame(rows, "ts timestamp_ntz, r double, dir double")
+    target = spark.createDataFrame([(t, 1.2 * v, (d + 10) % 360) for t, v, d in rows], "ts timestamp_ntz, t double, tdir double")
+    params, cutoff = R.speedsort(ref, target, "r", "dir", "t", "tdir", "1h")
+    got = params.collect()
+    assert cutoff == 4.0 and len(got) == 12 and sum(r["n"] for r in got) == 2000
+    assert all(abs(r["slope"] - 1.2) < 1e-4 and abs(r["veer"] - 10) < 1e-4 for r in got)
+
+
+def test_ranks_over_bins(spark):
+    rows = [(i % 2, float(i * 7919 % 1000) / 300) for i in range(500)] + [(0, -1.5), (1, 1e6)]
+    got = R.ranked(spark.createDataFrame(rows, "g int, v double"), "g", "v").collect()
+    for g in (0, 1):
+        mine = sorted((r["rn"], r["v"]) for r in got if r["g"] == g)
+        assert [k for k, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted(v for _, v in mine)
+
+
+def test_several_references(spark):
+    rows = [(float(i % 13), float(i % 7)) for i in range(200)]
+    data = spark.createDataFrame([(a, b, 2 * a - b + 3) for a, b in rows] + [(1.0, None, 2.0)], "a double, b double, y double")
+    params = R.multiple(data, ["a", "b"], "y")
+    assert abs(R.fit_r2_multiple(data, params, ["a", "b"], "y").first()["r2"] - 1) < 1e-9
+    first = R.predict_multiple(data, params, ["a", "b"]).first()
+    assert abs(first["predicted"] - first["y"]) < 1e-6
