@@ -208,6 +208,6 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     comp = connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
     sums = links.groupBy("id").agg(F.sum("links").alias("links"))
     info = reps.join(sums, "id", "left").join(comp, "id", "left").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    found = good.join(info, ["label", "vector"]).select("id", "n_links", "component_id")
+    found = good.join(checkpointed(info), ["label", "vector"]).select("id", "n_links", "component_id")
     alone = rows.where(~fit).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return found.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,6 +85,9 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = str(Path(__file__).resolve().parents[2])  # the script stands at the top of the repository
+    if root not in sys.path:
+        sys.path.append(root)
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

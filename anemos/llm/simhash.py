@@ -175,7 +175,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = firsts.join(comp.withColumnRenamed("node", "fp"), "fp")
     lowest = linked.groupBy("component").agg(F.min("first_id").alias("low"))
     moved = linked.join(lowest, "component").select("fp", "low")
-    groups = firsts.join(moved, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
+    groups = checkpointed(firsts.join(moved, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id")))  # so that the join can split a common text's rows
     return marked.join(groups, "fp").select(id_col, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

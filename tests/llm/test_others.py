@@ -252,3 +252,39 @@ def test_partial_passages_at_any_offset(spark):
     assert set(got) == {i for i, _ in docs}
     assert all(got[i]["edits"] == 0 for i in got if i < 2000) and all(0 < got[i]["edits"] <= 6 for i in got if i >= 2000)
     assert all(got[k]["regions"] >= 31 and got[k]["of_regions"] == 301 for k in range(0, 270, 9))
+
+
+def test_repetitive_items_and_texts_in_pieces(spark, monkeypatch):
+    """A word said over and over, in the item and in the text: as many pairs of equal q-grams as the product of both."""
+    rng = random.Random(3)
+    prose = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
+    many = "spam " * 2000
+    index = decontaminate.build_index(pa.array([many, many[:500] + prose + many[:500]]))
+    assert len(index.post_off) < 4000  # regions with the same bytes have their postings once
+    for hits in (decontaminate.HITS, 1 << 14):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        for text, want in ((many * 4, {0, 1}), (prose, {1}), (many[:60] + "x" + prose[:50], set())):
+            buf = np.frombuffer(text.encode(), np.uint8)
+            _, seg, edits = decontaminate.find_regions(buf, np.array([0, len(buf)]), index)
+            assert set(np.searchsorted(np.cumsum(index.regions), seg, side="right")) == want and not (edits > 6).any()
+    got = decontaminate.contaminated(spark.createDataFrame([(1, many * 4)], DOCS), spark.createDataFrame([(1, many)], "item_id long, text string")).first()
+    assert got["regions"] == got["of_regions"] == 2000 * 5 - 1 - 99
+
+
+def test_short_items_have_their_whole_budget(spark):
+    items = [(1, "Paris!"), (2, "a red, red rose"), (3, "seventeen letters"), (4, "thirty-five characters, two mistakes"), (5, "..."), (6, None)]
+    docs = [(1, "in PARIS, then"), (2, "parisian"), (3, "A red red rose."), (4, "a red bed rose"), (5, "so seventeen leters it is"), (6, "sevnteen leters"), (7, "the thirty five charcters two mistaks here"), (None, "in paris"), (None, "elsewhere"), (8, None)]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(1, 1), (None, 1), (3, 2), (5, 3), (7, 4)}
+    left = decontaminate.decontaminate(df, bench).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, "elsewhere"), (2, "parisian"), (4, "a red bed rose"), (6, "sevnteen leters"), (8, "")]
+
+
+def test_units_of_sources_are_split_among_shards(spark):
+    units = [(f"s{i}" if i else None, (i * 37) % 50) for i in range(3000)]
+    got = mixing.shard_bounds(spark.createDataFrame(units, "source string, n long"), 7, "mix:").collect()
+    assert {r["of"]: r["bounds"][-1] for r in got} == dict(units) and all(len(r["bounds"]) == 7 and list(r["bounds"]) == sorted(r["bounds"]) for r in got)
+    total = sum(n for _, n in units)
+    ends = [sum(r["bounds"][k] for r in got) for k in range(7)]
+    assert all(abs(b - a - total / 7) <= 3 for a, b in zip([0, *ends], ends))
