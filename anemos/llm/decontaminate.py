@@ -155,13 +155,14 @@ def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, region, edits) of every region of the index found in a slice of whole texts within its budget; equal regions of an
-    item are told once, and a region may be told several times. Where texts and items have more than HITS pairs of equal q-grams, they are taken
+    item are told once. Where texts and items have more than HITS pairs of equal q-grams, they are taken
     in overlapping pieces of text and index, halved until the pairs are few enough; any occurrence lies whole in a piece."""
     none = (np.zeros(0, np.int64),) * 3
     buf, offs = normalised(buf, offs)
     if len(buf) < x.q or not len(x.grams):
         return none
-    h = SpanHash(buf).every(x.q)
+    spans = SpanHash(buf)
+    h = spans.every(x.q)
     at = np.flatnonzero(x.maybe[(h >> np.uint64(42)).astype(np.int64)])
     g = np.searchsorted(x.grams, h[at])
     g[g == len(x.grams)] = 0
@@ -181,24 +182,25 @@ def find_regions(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex) -> tuple[np
         rows = slice(*np.searchsorted(at, [lo, hi]))
         first, last = np.searchsorted(posting, g[rows] * size + low), np.searchsorted(posting, g[rows] * size + high)
         if (last - first).sum() <= HITS or max(hi - lo, high - low) <= 2 * reach:
-            out.append(_in_piece(buf, offs, x, at[rows], doc[rows], first, last - first))
+            out.append(_in_piece(buf, offs, spans, x, at[rows], doc[rows], first, last - first))
         elif hi - lo >= high - low:
             middle = (lo + hi) // 2
             todo += [(lo, middle + reach, low, high), (middle, hi, low, high)]
         else:
             middle = (low + high) // 2
             todo += [(lo, hi, low, middle + reach), (lo, hi, middle, high)]
-    return tuple(np.concatenate(c) for c in zip(*out))
+    key, edits = _fewest(*(np.concatenate(c) for c in zip(*out)))
+    return *np.divmod(key, int(x.regions.sum())), edits
 
 
-def _in_piece(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex, at: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """find_regions among the postings first to first + n of the q-grams at `at`. Regions all of whose q-grams follow each other in the
-    text need no alignment."""
+def _in_piece(buf: np.ndarray, offs: np.ndarray, spans: SpanHash, x: SegmentIndex, at: np.ndarray, doc: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What find_regions finds among the postings first to first + n of the q-grams at `at`: (text number x all regions + region, fewest
+    edits). Regions all of whose q-grams follow each other in the text need no alignment."""
     p = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
     item, off, doc = x.post_item[p], x.post_off[p], np.repeat(doc, n)
     diagonal = np.repeat(at, n) - off
     if not len(item):
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     order = np.lexsort((off, diagonal, item, doc))
     doc, item, diagonal, off = doc[order], item[order], diagonal[order], off[order]
     grams = x.span[item] - x.q  # of a region, less one
@@ -206,7 +208,8 @@ def _in_piece(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex, at: np.ndarray
     group = _groups(doc, item, diagonal)
     same = np.flatnonzero((group[last] == group) & (off[last] - off == grams))
     same = same[x.alike[x.at[item[same]] + off[same]] > 0]
-    exact = np.unique(np.stack([doc[same], x.before[item[same]] + off[same]], 1), axis=0)
+    total = int(x.regions.sum())  # a document's region is one number
+    exact = np.unique(doc[same] * total + x.before[item[same]] + off[same])
     step = x.budget + 1  # bands are two steps wide and start at each step: any budget + 1 diagonals lie in one band
     band = np.concatenate([diagonal // step, diagonal // step - 1])
     doc, item, off = np.tile(doc, 2), np.tile(item, 2), np.tile(off, 2)
@@ -223,16 +226,30 @@ def _in_piece(buf: np.ndarray, offs: np.ndarray, x: SegmentIndex, at: np.ndarray
     row = ok[row]
     looked = x.alike[x.at[item[row]] + start] > 0
     row, start = row[looked], start[looked]
-    key = np.stack([doc[row], x.before[item[row]] + start, band[row]], 1)
-    known = np.isin(key[:, 0] * int(x.regions.sum()) + key[:, 1], exact[:, 0] * int(x.regions.sum()) + exact[:, 1])
-    key, row, start = key[~known], row[~known], start[~known]
-    found = np.full(len(key), -1, np.int64)
-    for lo in range(0, len(key), 512):
-        part, of = key[lo : lo + 512], item[row[lo : lo + 512]]
-        diag = part[:, 2] * step - x.budget + start[lo : lo + 512]
-        found[lo : lo + 512] = align(buf, offs[part[:, 0]], offs[part[:, 0] + 1], diag, 2 * step + 2 * x.budget, x, x.at[of] + start[lo : lo + 512], x.span[of], x.allowed[of])
+    key = doc[row] * total + x.before[item[row]] + start
+    new = ~np.isin(key, exact)
+    key, row, start = key[new], row[new], start[new]
+    low, high, diag, width = offs[doc[row]], offs[doc[row] + 1], band[row] * step - x.budget + start, 2 * step + 2 * x.budget
+    first, last = np.clip(diag, low, high), np.clip(diag + width + x.span[item[row]], low, high)
+    alike = np.stack([key % max(total, 1), spans(first, last).view(np.int64), first - diag, last - diag])  # a region beside the same bytes is aligned once
+    _, once, back = np.unique(alike, axis=1, return_index=True, return_inverse=True)
+    cost = np.full(len(once), -1, np.int64)
+    for lo in range(0, len(once), 512):
+        i = once[lo : lo + 512]
+        of = item[row[i]]
+        cost[lo : lo + 512] = align(buf, low[i], high[i], diag[i], width, x, x.at[of] + start[i], x.span[of], x.allowed[of])
+    found = cost[back.ravel()]
     ok = found <= x.allowed[item[row]]
-    return np.concatenate([exact[:, 0], key[ok, 0]]), np.concatenate([exact[:, 1], key[ok, 1]]), np.concatenate([np.zeros(len(exact), np.int64), found[ok]])
+    return _fewest(np.concatenate([exact, key[ok]]), np.concatenate([np.zeros(len(exact), np.int64), found[ok]]))
+
+
+def _fewest(key: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, with its fewest edits."""
+    order = np.lexsort((edits, key))
+    key, edits = key[order], edits[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return key[new], edits[new]
 
 
 def align(buf: np.ndarray, low: np.ndarray, high: np.ndarray, diagonal: np.ndarray, width: int, x: SegmentIndex, start: np.ndarray, size: np.ndarray, allowed: np.ndarray) -> np.ndarray:
