@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from anemos.functions.aggs import Aggregate, aggregate, quantile
 from anemos.functions.bins import SPEED_EDGES, auto_edges, bin_index, bins, dist_edges, sector, sectors_table
 from anemos.functions.scalar import clean
+from anemos.operators.correl import ranked
 from anemos.operators.period import drop_thin_months, month_weights
 
 PERCENT = "%frequency"
@@ -236,5 +236,5 @@ def scatter_by_sector(df: DataFrame, x: str, y: str, direction: str, sectors: in
     rows = df.select(sector(F.col(direction), sectors).alias("sector"), F.col(x).alias("x"), F.col(y).alias("y")).dropna()
     if not sort_inputs:
         return rows
-    rank = lambda c: F.row_number().over(W.partitionBy("sector").orderBy(c))
-    return rows.select("sector", "x", rank("x").alias("rank")).join(rows.select("sector", "y", rank("y").alias("rank")), ["sector", "rank"]).select("sector", "x", "y")
+    xs, ys = ranked(rows, "sector", "x").select("sector", "x", "rn"), ranked(rows, "sector", "y").select("sector", "y", "rn")
+    return xs.join(ys, ["sector", "rn"]).select("sector", "x", "y")

@@ -72,7 +72,8 @@ def read_campbell(spark: SparkSession, path: str, day_first: bool = False, strin
     """(ts, signals) of a four-line-header logger file: names are on the second line."""
     head = _head(spark, path, 2)
     names = [n.strip().strip('"') for n in head[1].split(",")]
-    return _typed(_after(spark, path, head[1], names, ","), day_first, strings, "NAN")
+    comma = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'  # outside quotes
+    return _typed(_after(spark, path, head[1], names, comma), day_first, strings, "NAN")
 
 
 def read_excel(spark: SparkSession, path: str, sheet=0) -> DataFrame:

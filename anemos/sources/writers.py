@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,4 +39,12 @@ def tab_text(table: DataFrame, height: float, latitude: float, longitude: float,
 
 
 def write_tab(table: DataFrame, path: str, height: float, latitude: float, longitude: float, **options) -> None:
-    Path(path).write_text(tab_text(table, height, latitude, longitude, Path(path).name, **options))
+    """One tab file at path, on whichever file system Spark reads it from."""
+    text = tab_text(table, height, latitude, longitude, path.rsplit("/", 1)[-1], **options)
+    sc = table.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()

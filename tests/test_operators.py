@@ -189,6 +189,9 @@ def test_readers(spark, tmp_path):
     assert [(r["Spd 80m"], r["Dir"]) for r in got] == [(5.5, None), (19999.0, 10.0)]
     (tmp_path / "c.dat").write_text('"TOA5","x"\n"TIMESTAMP","RECORD","Spd"\n"TS","RN","m/s"\n"","","Avg"\n"2016-01-09 15:30:00",1,5.5\n')
     assert readers.read_campbell(spark, str(tmp_path / "c.dat")).first()["Spd"] == 5.5
+    (tmp_path / "q.dat").write_text('"TOA5","x"\n"TIMESTAMP","Note","Spd"\n"TS","","m/s"\n"","","Avg"\n"2016-01-09 15:30:00","calm, cold","6.5"\n')
+    row = readers.read_campbell(spark, str(tmp_path / "q.dat"), strings=("Note",)).first()
+    assert (row["Note"], row["Spd"]) == ("calm, cold", 6.5)
     (tmp_path / "log.csv").write_text("Sensor,Start,Stop,Reason\nAll,09/01/2016 15:30,,x\nSpd,2016-01-09 15:30:00,2016-01-10,y\n")
     log = readers.read_log(spark, str(tmp_path / "log.csv"), extra={"reason": "Reason"}, day_first=True).collect()
     assert log[0]["date_from"] == datetime(2016, 1, 9, 15, 30) and log[0]["date_to"] is None and log[1]["date_to"] == datetime(2016, 1, 10)
@@ -198,6 +201,8 @@ def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(datetime(2020, 1, 1) + i * DAY, float(i % 12), float(i * 30 % 360)) for i in range(360)], "ts timestamp_ntz, s double, d double")
     text = writers.tab_text(D.freq_table(df, "s", "d"), 80, 53.5, -7.5)
     body = text.splitlines()[4:]
+    writers.write_tab(D.freq_table(df, "s", "d"), str(tmp_path / "site.tab"), 80, 53.5, -7.5)
+    assert (tmp_path / "site.tab").read_text().splitlines()[1:] == text.splitlines()[1:]
     assert len(body) == 41 and text.splitlines()[1] == "53.50 -7.50 80.00"
     for k in range(1, 13):
         assert sum(float(line.split()[k]) for line in body) == pytest.approx(1000, abs=0.1)
