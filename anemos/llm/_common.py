@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, tab, LF, VT, FF, CR.
@@ -18,6 +20,8 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: ASCII lower-casing of A-Z only.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: ASCII bytes that are neither letters nor digits; between words of letters, digits and other characters.
+NOT_ALNUM = np.array([x < 128 and not chr(x).isalnum() for x in range(256)])
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,23 +56,23 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs
 
 
-def text_slices(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets from 0) of consecutive whole texts, of about `most` bytes together, or one text."""
+def text_slices(col: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets from 0) of consecutive whole texts: at most `rows`, of about `most` bytes together, or one text."""
     if not len(col):
         return
     buf, offs = text_buffer(col)
     lo = 0
     while lo < len(col):
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, side="right")) - 1))
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of each word; words are runs of bytes that are not white space and never cross texts."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of each word; words are runs of bytes that are not `between` words (white space) and never cross texts."""
     if not len(buf):
         return (np.zeros(0, np.int64),) * 3
-    gap = SPACE[buf]
+    gap = between[buf]
     before, after = np.empty_like(gap), np.empty_like(gap)
     before[1:], after[:-1] = gap[:-1], gap[1:]
     full = offs[1:] > offs[:-1]
@@ -79,6 +83,61 @@ def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start, end, np.searchsorted(offs[1:], start, side="right")
 
 
+def words_of(buf: np.ndarray, offs: np.ndarray, between: np.ndarray = SPACE) -> tuple[pa.Array, np.ndarray]:
+    """The words of a slice as an array of binary values, and the text number of each."""
+    start, end, doc = word_spans(buf, offs, between)
+    ends = np.concatenate([np.zeros(1, np.int32), np.cumsum(end - start, dtype=np.int32)])
+    kept = np.ascontiguousarray(buf[~between[buf]] if len(buf) else buf)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(kept)]), doc
+
+
+def binaries(buf: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of buf between consecutive bounds."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int32)), pa.py_buffer(np.ascontiguousarray(buf).view(np.uint8))])
+
+
+def places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one run after the other."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
+
+
+#: The table of CRC-32 (reflected polynomial 0xEDB88320), made from its rule.
+CRC_TABLE = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC_TABLE = np.where(CRC_TABLE & 1, np.uint32(0xEDB88320) ^ (CRC_TABLE >> 1), CRC_TABLE >> 1).astype(np.uint32)
+
+
+def crc32s(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of each span of a byte array: a byte of all spans at a time, those of over 64 bytes one by one."""
+    length = end - start
+    out = np.zeros(len(start), np.uint32)
+    order = np.argsort(-length, kind="stable")
+    order = order[int(np.searchsorted(-length[order], -64, side="left")) :]
+    at, n, state = start[order], -length[order], np.full(len(order), 0xFFFFFFFF, np.uint32)
+    for k in range(int(-n[0]) if len(n) else 0):
+        m = int(np.searchsorted(n, -k, side="left"))
+        state[:m] = CRC_TABLE[(state[:m] ^ buf[at[:m] + k]) & 0xFF] ^ (state[:m] >> np.uint32(8))
+    out[order] = ~state
+    for i in np.flatnonzero(length > 64):
+        out[i] = zlib.crc32(buf[start[i] : end[i]])
+    return out
+
+
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with `name`, their number from 1 in the order given, without a window over all rows: they are sorted in ranges, numbered within
+    each, and each range's first number follows from the counts of those before. Rows equal in order are numbered as they lie in a written
+    table, which also parts them if they are many."""
+    lain = stored(rows.withColumn("__lies", F.monotonically_increasing_id()), "lain")
+    order = [*order, F.col("__lies").asc()]
+    ranges = stored(lain.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    split = ranges.withColumn("__range", F.shiftright("__at", 33))
+    counts = split.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.select("__range", (F.sum("__n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__first"))
+    at = F.col("__first") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return split.join(F.broadcast(first), "__range").withColumn(name, at).drop("__lies", "__at", "__range", "__first")
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """(columns, run bounds) of batches that are sorted by `keys`; a run that goes on in the next batch is carried over."""
     left: pa.Table | None = None

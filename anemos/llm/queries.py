@@ -17,6 +17,7 @@ from anemos.llm.lines import dedup_lines
 from anemos.llm.mixing import mix_sources
 from anemos.llm.neardup_vectors import vector_groups
 from anemos.llm.quality import fit_quality, score_quality
+from anemos.llm.resample import importance
 from anemos.llm.sharding import kd_shards
 from anemos.llm.simhash import simhash_groups
 from anemos.llm.suffix import remove_repeats
@@ -84,6 +85,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, least_words=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = str(Path(__file__).resolve().parents[2])  # the script stands at the top of the repository
     if root not in sys.path:
@@ -94,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, op10_lines, pipeline)
+    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, op10_lines, op13_resample, pipeline)
 }
 
 #: The same block digests, quotas and order as the operator's.
@@ -169,4 +174,32 @@ SELECT e.vec_id, (SELECT count(*) FROM links WHERE a = e.vec_id)::BIGINT AS n_li
 FROM embeddings e JOIN reach ON reach.a = e.vec_id GROUP BY e.vec_id
 """
 
-ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL}
+#: The CRC-32 of each distinct word is worked out a byte at a time from a table made by its rule.
+OP13_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT range AS i, range::UBIGINT AS c, 0 AS k FROM range(256)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM step WHERE k = 8),
+words AS (
+  SELECT 'd' AS of, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+  UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+n AS (SELECT of, id, w, count(*) AS n FROM words GROUP BY ALL),
+coded AS (
+  SELECT w, xor(4294967295::UBIGINT, list_reduce(list_transform(range(0, octet_length(encode(w)) * 2, 2), lambda i: ('0x' || substr(hex(encode(w)), i + 1, 2))::UBIGINT),
+    lambda a, b: xor(crc.tab[(xor(a, b) & 255)::BIGINT + 1], a >> 8), 4294967295::UBIGINT)) % 10000 AS bucket
+  FROM (SELECT DISTINCT w FROM n), crc),
+p AS (SELECT of, id, bucket, sum(n)::BIGINT AS n FROM n JOIN coded USING (w) GROUP BY ALL),
+b AS (SELECT bucket, coalesce(sum(n) FILTER (of = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (of = 'b'), 0)::DOUBLE AS t FROM p GROUP BY bucket),
+tot AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM b),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM b, tot),
+w AS (SELECT id, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS gained FROM p JOIN g USING (bucket) WHERE of = 'd' GROUP BY id),
+s AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN (gained - ((gained % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+    ('0x' || substr(sha256('2024:' || doc_id::VARCHAR), 1, 8))::BIGINT::DOUBLE AS h
+  FROM documents LEFT JOIN w ON id = doc_id),
+f AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::BIGINT AS score FROM s),
+r AS (SELECT *, count(*) FILTER (n_features >= 20) OVER () AS n, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM f)
+SELECT doc_id, n_features, weight::BIGINT AS weight, score::BIGINT AS score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank FROM r
+"""
+
+ORACLES: dict[str, str] = {"op1_embedding_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op8_warc": OP8_SQL, "op13_resample": OP13_SQL}
