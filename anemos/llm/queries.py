@@ -22,6 +22,7 @@ from anemos.llm.search import build_index, search
 from anemos.llm.sharding import kd_shards
 from anemos.llm.simhash import simhash_groups
 from anemos.llm.suffix import remove_repeats
+from anemos.llm.tokens import read_tokens, write_tokens
 from anemos.llm.warc import read_warc, write_warc
 
 
@@ -86,6 +87,14 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"), k=10)
 
@@ -104,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, op10_lines, op12_search, op13_resample, pipeline)
+    f.__name__: f for f in (op1_embedding_dedup, op2_suffix, op3_kd_sharding, op4_simhash, op5_decontamination, op6_language, op7_mixing, op8_warc, op9_quality, op10_lines, op11_tokens, op12_search, op13_resample, pipeline)
 }
 
 #: The same block digests, quotas and order as the operator's.
