@@ -28,8 +28,8 @@ from anemos.llm._common import places, sized, stored, text_slices, words_of
 INDEX_MAGIC, TABLE_MAGIC, END_MAGIC, CHECKED = 0x184D2A51, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Bytes of text that a task is given at least, as long as there are tasks for all cores.
 LEAST_BYTES = 4 << 20
-#: Words and ids that a task remembers.
-KNOWN_WORDS, KNOWN_IDS = 1 << 19, 1 << 22
+#: Words and ids that a worker process remembers.
+KNOWN_WORDS, KNOWN_IDS = 1 << 20, 1 << 23
 
 
 @functools.lru_cache(2)
@@ -70,6 +70,12 @@ class Encoder:
         return ids, np.bincount(doc, weights=n, minlength=len(offs) - 1).astype(np.int64)
 
 
+@functools.lru_cache(1)
+def encoder_of(tokenizer: str) -> Encoder:
+    """One encoder to a worker process, so that its next task knows the words too."""
+    return Encoder(tokenizer)
+
+
 def ended(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with end_id after each text's, and the numbers with it."""
     out = np.full(len(ids) + len(n), end_id, np.uint32)
@@ -200,9 +206,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, fr
         from pyspark import TaskContext
 
         fs, folder = file_system(f"{path}/ids")
-        encoder, part, made, out = Encoder(model), TaskContext.get().partitionId(), [], None
+        encoder, part, made, out = encoder_of(model), TaskContext.get().partitionId(), [], None
         for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch.column(1)):
+            for lo, hi, buf, offs in text_slices(batch.column(1), 4 << 20):
                 if out is None:
                     out = Frames(fs, f"{folder}/{part:07d}-{len(made):05d}.zst", width, batch.schema.field(0).type, frame_ids)
                 ids, n = ended(*encoder(buf, offs), end_id)
