@@ -16,11 +16,12 @@ from anemos.functions.aggs import quantile
 from anemos.operators import calibrate as C
 from anemos.operators import correl as R
 from anemos.operators import dist as D
+from anemos.operators import documents as J
 from anemos.operators import geo as G
 from anemos.operators import period as P
 from anemos.operators import shear as H
 from anemos.operators import station as M
-from anemos.plans.views import ctes, met_events, met_h, ref_daily, table, tgt_daily
+from anemos.plans.views import ctes, met_events, met_h, ref_daily, station_docs, table, tgt_daily
 from anemos.sources.writers import per_mille
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -401,10 +402,11 @@ def q52_cleaning_rules(s, d):
     return C.apply_rules(met_h(s, d).select("ts", "spd80", "spd60", "spd40", "dir", "temp", "pres"), RULES)
 
 
-@query("SELECT * FROM (VALUES (1, 1.5::DOUBLE), (2, NULL), (3, NULL), (4, NULL), (5, NULL)) v(id, x)")
+@query("SELECT event_id, CASE WHEN event_id % 5 NOT IN (1, 2, 3) THEN value END AS x FROM events", "x")
 def q53_nan_to_null(s, d):
-    df = s.createDataFrame([(1, 1.5), (2, float("nan")), (3, float("inf")), (4, float("-inf")), (5, None)], "id int, x double")
-    return df.select("id", S.clean(F.col("x")).alias("x"))
+    k = F.col("event_id") % 5
+    x = F.when(k == 1, float("nan")).when(k == 2, float("inf")).when(k == 3, float("-inf")).otherwise(F.col("value"))
+    return table(s, d, "events").select("event_id", S.clean(x).alias("x"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{v}' AS name, arg_min(step, (-n, step)) AS step FROM (SELECT step, count(*) AS n FROM (SELECT date_diff('microsecond', lag(ts) OVER (ORDER BY ts), ts) AS step FROM (SELECT DISTINCT ts FROM {v})) WHERE step IS NOT NULL GROUP BY 1)" for v in ("met_h", "tgt_daily")))
@@ -645,35 +647,93 @@ def q87_shear_scale(s, d):
 
 
 # ---- stations, tables, geography ----
-STATION = """{"measurement_location": [{"name": "Mast A", "measurement_station_type_id": "mast", "latitude_ddeg": 53.5, "longitude_ddeg": -7.5,
- "logger_main_config": [{"logger_serial_number": "L1", "logger_name": "logger", "date_from": "2016-01-01T00:00:00", "date_to": null}],
- "measurement_point": [
-  {"name": "Spd80", "measurement_type_id": "wind_speed", "height_m": 80, "logger_measurement_config": [{"slope": 0.05, "offset": 0.2, "date_from": "2016-01-01T00:00:00", "date_to": "2016-06-01T00:00:00", "column_name": [{"column_name": "S80", "statistic_type_id": "avg"}]}, {"slope": 0.051, "offset": 0.2, "date_from": "2016-06-01T00:00:00", "date_to": null}],
-   "sensor": [{"oem": "X", "model": "m", "serial_number": "1", "date_from": "2016-01-01T00:00:00", "date_to": "2016-03-01T00:00:00", "calibration": [{"slope": 0.0462, "offset": 0.21, "date_of_calibration": "2015-12-01"}]}, {"oem": "X", "model": "m", "serial_number": "2", "date_from": "2016-03-01T00:00:00", "date_to": null, "calibration": []}],
-   "mounting_arrangement": [{"boom_orientation_deg": 270, "boom_oem": "B", "date_from": "2016-01-01T00:00:00", "date_to": null}]},
-  {"name": "Dir78", "measurement_type_id": "wind_direction", "height_m": 78, "logger_measurement_config": [{"slope": 1, "offset": 0, "date_from": "2016-01-01T00:00:00", "date_to": null}], "sensor": [], "mounting_arrangement": []}]}]}"""
-
-MERGED_STATION = """SELECT * FROM (VALUES
- (0, 'Spd80', 'wind_speed', 80.0::DOUBLE, TIMESTAMP '2016-01-01', TIMESTAMP '2016-03-01', 0.05::DOUBLE, 0.2::DOUBLE, 'X', '1', 0.0462::DOUBLE, 0.21::DOUBLE, 270.0::DOUBLE),
- (0, 'Spd80', 'wind_speed', 80.0, TIMESTAMP '2016-03-01', TIMESTAMP '2016-06-01', 0.05, 0.2, 'X', '2', NULL, NULL, 270.0),
- (0, 'Spd80', 'wind_speed', 80.0, TIMESTAMP '2016-06-01', TIMESTAMP '2100-12-31', 0.051, 0.2, 'X', '2', NULL, NULL, 270.0),
- (1, 'Dir78', 'wind_direction', 78.0, TIMESTAMP '2016-01-01', TIMESTAMP '2100-12-31', 1.0, 0.0, NULL, NULL, NULL, NULL, NULL))
- v(point, name, measurement_type_id, height_m, date_from, date_to, logger_slope, logger_offset, sensor_oem, serial_number, calibration_slope, calibration_offset, boom_orientation_deg)"""
-
-
-@query("SELECT 'Mast A' AS name, 'mast' AS measurement_station_type_id, 53.5::DOUBLE AS latitude_ddeg, -7.5::DOUBLE AS longitude_ddeg")
+def _models(s, d):
+    return M.models(station_docs(s, d), "text", "model")
+
+
+KIND = "CASE o_orderstatus WHEN 'F' THEN 'mast' WHEN 'O' THEN 'lidar' ELSE 'sodar' END"
+LINED = "SELECT DISTINCT l_orderkey FROM lineitem"
+
+
+@query(f"""SELECT o_orderkey AS model, 0 AS location, 'S' || o_orderkey AS name, {KIND} AS measurement_station_type_id, (o_orderkey % 181 - 90)::VARCHAR AS latitude_ddeg, 'own' AS notes,
+ CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS mast_geometry_id, CASE WHEN o_orderstatus = 'F' THEN 'n' END AS mast_notes,
+ CASE WHEN o_orderstatus <> 'F' THEN (o_orderkey % 9)::VARCHAR END AS device_datum_plane_height_m, CASE WHEN o_orderstatus <> 'F' THEN 'v' END AS profiler_notes
+ FROM orders WHERE o_orderkey IN ({LINED})""")
 def q90_station_header(s, d):
-    return M.header(M.station_from_json(s, STATION))
+    rows = M.properties(_models(s, d))
+    return J.horizontal(rows, ["name", "measurement_station_type_id", "latitude_ddeg", "notes", "mast_geometry_id", "mast_properties.notes", "device_datum_plane_height_m", "vertical_profiler_properties.notes"], ["model", "location"], titles={"mast_properties.notes": "mast_notes", "vertical_profiler_properties.notes": "profiler_notes"})
+
+
+STRETCHES = """SELECT l_orderkey AS model, (row_number() OVER (PARTITION BY l_orderkey, step ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS point, 'P' || l_linenumber AS name, l_quantity AS height_m, l_discount AS slope,
+ l_shipdate + to_days(a) AS date_from, CASE WHEN b IS NOT NULL THEN l_shipdate + to_days(b) END AS date_to, CASE WHEN step < 3 THEN l_suppkey ELSE l_partkey END::VARCHAR AS serial_number,
+ CASE WHEN step < 3 THEN l_tax END AS calibration_slope, CASE WHEN step > 1 THEN (l_partkey % 360)::VARCHAR END AS boom, l_returnflag, l_tax
+ FROM lineitem, (VALUES (1, 0, 5), (2, 5, 20), (3, 20, NULL)) t(step, a, b) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
 
 
-@query(MERGED_STATION)
+@query(f"SELECT model, point, name, height_m, slope, date_from, date_to, serial_number, calibration_slope, boom FROM ({STRETCHES})", "height_m slope calibration_slope")
 def q91_station_measurements(s, d):
-    return M.measurements(M.station_from_json(s, STATION))
+    got = lambda k: J.text(F.try_element_at("props", F.lit(k)))
+    return M.measurements(_models(s, d)).select("model", "point", got("name").alias("name"), got("height_m").cast("double").alias("height_m"), got("logger_measurement_config.slope").cast("double").alias("slope"), "date_from", "date_to", got("sensor.serial_number").alias("serial_number"), got("calibration.slope").cast("double").alias("calibration_slope"), got("boom_orientation_deg").alias("boom"))
 
 
-@query("SELECT * FROM (VALUES ('Spd80', 80.0::DOUBLE), ('Dir78', 78.0), ('none', NULL)) v(name, height_m)")
+@query(f"SELECT o_orderkey AS model, w.name, height_m FROM orders CROSS JOIN (VALUES ('P1'), ('P3'), ('none')) w(name) LEFT JOIN (SELECT l_orderkey, 'P' || l_linenumber AS name, arg_min(l_quantity, (l_partkey, l_suppkey)) AS height_m FROM lineitem GROUP BY ALL) p ON p.l_orderkey = o_orderkey AND p.name = w.name WHERE o_orderkey IN ({LINED})")
 def q92_station_heights(s, d):
-    return M.heights(M.station_from_json(s, STATION), ["Spd80", "Dir78", "none"])
+    return M.heights(_models(s, d), ["P1", "P3", "none"])
+
+
+@query(f"SELECT model, name, boom AS boom_orientation_deg, min(date_from) AS date_from, CASE WHEN count(date_to) = count(*) THEN max(date_to) END AS date_to FROM ({STRETCHES}) WHERE boom IS NOT NULL GROUP BY ALL")
+def q90b_station_table(s, d):
+    """The table of mountings: stretches in which they don't change are one row."""
+    return M.measurement_table(M.measurements(_models(s, d)), ["boom_orientation_deg", "no_such_field"])
+
+
+@query(f"""SELECT o_orderkey AS model, f.property, f.property || '!' AS title, CASE f.property WHEN 'author' THEN o_orderpriority ELSE '1.3' END AS value
+ FROM orders CROSS JOIN (VALUES ('author'), ('version')) f(property) WHERE o_orderkey IN ({LINED})""")
+def q92b_vertical_view(s, d):
+    return J.vertical(M.header(_models(s, d)), ["model"], titles={"author": "author!", "version": "version!"})
+
+
+# ---- documents of any shape ----
+@query("""SELECT '$.' || key AS path, CASE json_type(value) WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' ELSE lower(json_type(value)) END AS kind, count(*) AS n
+ FROM (SELECT unnest(json_keys(props)) AS key, props FROM events), LATERAL (SELECT json_extract(props, '$.' || key) AS value) GROUP BY ALL""")
+def q99_document_paths(s, d):
+    return J.paths(table(s, d, "events").select("event_id", J.parsed("props").alias("doc")), "doc")
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+ SELECT '$.measurement_location[].measurement_point[].' || p.path AS path, p.kind, p.times * n.n AS n FROM n, (VALUES ('sensor', 'array', 1), ('sensor[]', 'object', 2), ('sensor[].oem', 'string', 2), ('sensor[].serial_number', 'string', 2),
+ ('sensor[].date_from', 'string', 2), ('sensor[].date_to', 'string', 1), ('sensor[].date_to', 'null', 1), ('sensor[].calibration', 'array', 2), ('sensor[].calibration[]', 'object', 1), ('sensor[].calibration[].slope', 'number', 1), ('sensor[].calibration[].offset', 'number', 1)) p(path, kind, times)""")
+def q99b_nested_paths(s, d):
+    return J.paths(_models(s, d), "doc", 9).where(F.col("path").contains(".sensor"))
+
+
+PROPS_SCHEMA = {"type": "object", "required": ["k", "z"], "properties": {"k": {"type": "integer", "maximum": 89, "multipleOf": 2, "not": {"const": 13}}, "z": {"type": "string"}}, "additionalProperties": False}
+
+
+@query("""SELECT event_id, CASE WHEN rule = 'required' THEN '$' ELSE '$.k' END AS path, rule FROM (SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events),
+ (VALUES ('required'), ('maximum'), ('multipleOf'), ('not')) r(rule)
+ WHERE CASE rule WHEN 'required' THEN true WHEN 'maximum' THEN k > 89 WHEN 'multipleOf' THEN k % 2 = 1 ELSE k = 13 END""")
+def q100_schema_violations(s, d):
+    return J.violations(table(s, d, "events").select("event_id", "props"), "props", PROPS_SCHEMA).select("event_id", "path", "rule")
+
+
+MODEL_SCHEMA = {
+    "type": "object", "definitions": {"slope": {"type": "number", "maximum": 0.07}},
+    "properties": {"author": {"enum": ["1-URGENT", "2-HIGH", "5-LOW"]}, "measurement_location": {"items": {"oneOf": [{"required": ["mast_properties"], "properties": {"mast_properties": {"type": "object"}}}, {"properties": {"vertical_profiler_properties": {"type": "array", "items": {"properties": {"device_datum_plane_height_m": {"exclusiveMaximum": 8}}}}}}],
+        "properties": {"name": {"pattern": "^S\\d*[0-8]$"}, "measurement_point": {"maxItems": 6, "items": {"properties": {"sensor": {"items": {"properties": {"calibration": {"items": {"properties": {"slope": {"$ref": "#/definitions/slope"}}}}}}}}}}}}},
+    },
+}
+
+
+@query("""WITH o AS (SELECT o_orderkey AS model, o_orderpriority AS author, o_orderstatus AS status, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+ p AS (SELECT l_orderkey AS model, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_tax FROM lineitem WHERE l_orderkey IN (SELECT model FROM o))
+ SELECT model, '$.author' AS path, 'enum' AS rule FROM o WHERE author NOT IN ('1-URGENT', '2-HIGH', '5-LOW')
+ UNION ALL SELECT model, '$.measurement_location[0].name', 'pattern' FROM o WHERE model % 10 = 9
+ UNION ALL SELECT model, '$.measurement_location[0].measurement_point', 'maxItems' FROM o WHERE n > 6
+ UNION ALL SELECT model, '$.measurement_location[0]', 'oneOf' FROM o WHERE status <> 'F' AND model % 9 = 8
+ UNION ALL SELECT model, '$.measurement_location[0].measurement_point[' || i || '].sensor[0].calibration[0].slope', 'maximum' FROM p WHERE l_tax > 0.07""")
+def q100b_nested_violations(s, d):
+    return J.violations(station_docs(s, d), "text", MODEL_SCHEMA).select("model", "path", "rule")
 
 
 @query(_freq_sql("met_events", "coalesce(1000.0 * n / sum(n) OVER (PARTITION BY dim.sector), 0)"), "value")
@@ -692,16 +752,21 @@ def q94_nearest_nodes(s, d):
     return G.nearest(nodes, 10, 20, 4, 30)
 
 
-@query("SELECT 1 AS point, 0 AS pos_a, 1 AS pos_b")
+SPANS = "SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS child_pos, l_shipdate AS date_from, l_shipdate + to_days(l_quantity::INT // 4) AS date_to FROM lineitem"
+
+
+@query(f"SELECT a.l_suppkey, a.child_pos AS pos_a, b.child_pos AS pos_b FROM ({SPANS}) a JOIN ({SPANS}) b ON a.l_suppkey = b.l_suppkey AND a.child_pos < b.child_pos AND a.date_from < b.date_to AND b.date_from < a.date_to")
 def q95_overlaps(s, d):
-    t = datetime
-    rows = [(1, 0, t(2020, 1, 1), t(2020, 3, 1)), (1, 1, t(2020, 2, 1), t(2020, 4, 1)), (1, 2, t(2020, 4, 1), t(2020, 5, 1)), (2, 0, t(2020, 1, 1), t(2021, 1, 1))]
-    return M.overlaps(s.createDataFrame(rows, "point int, child_pos int, date_from timestamp_ntz, date_to timestamp_ntz"))
+    end = F.col("l_shipdate") + F.make_dt_interval(F.floor(F.col("l_quantity") / 4).cast("int"))
+    spans = table(s, d, "lineitem").select("l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("child_pos"), F.col("l_shipdate").alias("date_from"), end.alias("date_to"))
+    return M.overlaps(spans, "l_suppkey")
 
 
-@query("SELECT i::DOUBLE AS speed, 0.16 * (0.75 + 5.6 / i) AS class_a, 0.14 * (0.75 + 5.6 / i) AS class_b, 0.12 * (0.75 + 5.6 / i) AS class_c FROM range(1, 26) t(i)", "class_a class_b class_c")
+@query("SELECT i::DOUBLE AS speed, avg(spd80_std / spd80) AS ti, 0.16 * (0.75 + 5.6 / i) AS class_a, 0.14 * (0.75 + 5.6 / i) AS class_b, 0.12 * (0.75 + 5.6 / i) AS class_c FROM met_events, LATERAL (SELECT CAST(floor(spd80 + 0.5) AS INT) AS i) WHERE i BETWEEN 1 AND 25 GROUP BY i", "ti class_a class_b class_c")
 def q96_iec_curves(s, d):
-    return D.iec_curves(s)
+    """Mean turbulence intensity at each speed beside the classes' curves."""
+    seen = met_events(s, d).groupBy(F.floor(F.col("spd80") + 0.5).cast("double").alias("speed")).agg(F.avg(F.try_divide("spd80_std", "spd80")).alias("ti"))
+    return D.iec_curves(s).join(seen, "speed")
 
 
 @query(_freq_sql("met_events", "coalesce(100.0 * n / total, 0)").replace("SELECT dim.bin, bin_left", ", f AS (SELECT dim.bin, bin_left", 1) + ") SELECT p.i::INT AS plot_bin, sector, sum(value) AS value FROM f JOIN (SELECT i, [0, 3, 6, 9, 12, 15, 41][i] AS a, [0, 3, 6, 9, 12, 15, 41][i + 1] AS b FROM range(1, 7) t(i)) p ON bin_left < b AND bin_right > a GROUP BY ALL", "value")

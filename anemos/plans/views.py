@@ -52,3 +52,28 @@ def ref_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tgt_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_shipdate").alias("ts")).agg((F.avg("l_quantity") * 0.3).alias("spd"), F.pmod(F.sum("l_suppkey").cast("double"), F.lit(360.0)).alias("dir"))
+
+
+def station_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(model, text): a station model as JSON text for each order, its lines being the measurement points. Each point has a configuration from the ship date on, a
+    sensor from ten days before to twenty days after it and another from then on, and a mounting from the fifth day on."""
+    day = lambda n: F.date_format(F.col("l_shipdate") + F.expr(f"INTERVAL {n} DAY"), "yyyy-MM-dd'T'HH:mm:ss")
+    one = lambda *cols: F.array(F.struct(*cols))
+    open_end = F.lit(None).cast("string").alias("date_to")
+    sensors = F.array(
+        F.struct(F.col("l_linestatus").alias("oem"), F.col("l_suppkey").cast("string").alias("serial_number"), day(-10).alias("date_from"), day(20).alias("date_to"), one(F.col("l_tax").alias("slope"), F.col("l_discount").alias("offset")).alias("calibration")),
+        F.struct(F.col("l_linestatus").alias("oem"), F.col("l_partkey").cast("string").alias("serial_number"), day(20).alias("date_from"), open_end, F.array().cast("array<struct<slope:double,offset:double>>").alias("calibration")),
+    )
+    point = F.struct(
+        F.concat(F.lit("P"), F.col("l_linenumber")).alias("name"), F.when(F.col("l_returnflag") == "R", "wind_speed").otherwise("wind_direction").alias("measurement_type_id"), F.col("l_quantity").alias("height_m"),
+        one(F.col("l_discount").alias("slope"), F.col("l_tax").alias("offset"), day(0).alias("date_from"), open_end).alias("logger_measurement_config"), sensors.alias("sensor"),
+        one((F.col("l_partkey") % 360).alias("boom_orientation_deg"), day(5).alias("date_from"), open_end).alias("mounting_arrangement"),
+    )
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", point.alias("p")))), lambda x: x["p"]).alias("measurement_point"))
+    key = F.col("o_orderkey")
+    mast = F.when(F.col("o_orderstatus") == "F", F.struct(F.col("o_orderpriority").alias("mast_geometry_id"), F.lit("n").alias("notes")))
+    profiler = F.when(F.col("o_orderstatus") != "F", one((key % 9).cast("int").alias("device_datum_plane_height_m"), F.lit("v").alias("notes")))
+    kind = F.when(F.col("o_orderstatus") == "F", "mast").when(F.col("o_orderstatus") == "O", "lidar").otherwise("sodar")
+    site = F.struct(F.concat(F.lit("S"), key).alias("name"), kind.alias("measurement_station_type_id"), (key % 181 - 90).alias("latitude_ddeg"), F.lit("own").alias("notes"), mast.alias("mast_properties"), profiler.alias("vertical_profiler_properties"), "measurement_point")
+    joined = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.select(key.alias("model"), F.to_json(F.struct(F.col("o_orderpriority").alias("author"), F.lit("1.3").alias("version"), F.array(site).alias("measurement_location")), {"ignoreNullFields": "false"}).alias("text"))

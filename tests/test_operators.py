@@ -12,7 +12,6 @@ from anemos.operators import dist as D
 from anemos.operators import geo as G
 from anemos.operators import period as P
 from anemos.operators import shear as H
-from anemos.operators import station as M
 from anemos.sources import readers, writers
 
 DAY = timedelta(days=1)
@@ -164,17 +163,6 @@ def test_nearest(spark):
         G.nearest(nodes, 1, 1, 17)
 
 
-def test_station_files(spark, tmp_path):
-    from anemos.plans.queries import STATION
-
-    (tmp_path / "s.json").write_text(STATION)
-    st = M.read_station(spark, str(tmp_path / "s.json"))
-    assert [r["name"] for r in M.names(st).collect()] == ["Spd80", "Dir78"] and M.measurements(st).count() == 4
-    assert [r["name"] for r in M.ranked(M.measurements(st)).collect()] == ["Spd80"] * 3 + ["Dir78"]
-    assert M.compact(M.measurements(st), ["name"]).where("name = 'Spd80'").first()["date_from"] == datetime(2016, 1, 1)
-    assert M.loggers(st).count() == 1 and M.check_model(STATION) == [] and M.check_model("{}")
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.csv").write_text("Timestamp,Spd,Site\n2016-01-09 15:30,5.1,A\n2016-01-09T15:40:00Z,NaN,A\n")
