@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Aggregate = str | Callable[[Column], Column]
@@ -34,5 +34,62 @@ def aggregate(method: Aggregate, column: Column) -> Column:
     return NAMED[method](column)
 
 
+def python_aggregate(function: Callable, result: str = "double") -> Callable[[Column], Column]:
+    """A Python function from a pandas Series to one value, as an aggregate that average_by_period, distributions and tables take for `method`, such as
+    python_aggregate(lambda v: v.mean() + 2 * v.std()). Nulls are left out before it is called; a group without values gives null.
+
+    When to use which: a Column callable, if functions of Spark can say it, runs in the JVM with partial aggregation. This one gathers each group's values in one task, so it
+    is for groups whose values fit there (a period, a bin of a site). fold() is for functions of values that can be taken piece by piece: it holds one state a group."""
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def call(groups):
+        return pd.Series([function(pd.Series(v)) if v is not None and len(v) else None for v in groups])
+
+    call.__annotations__ = {"groups": pd.Series, "return": pd.Series}
+    udf = pandas_udf(call, result)
+    return lambda c: udf(F.collect_list(c))  # so that other aggregates may stand beside it
+
+
+def fold(df: DataFrame, keys: list[str], column: str, initial: Callable, update: Callable, merge: Callable, finish: Callable, result: str = "double", most: int = 100_000) -> DataFrame:
+    """(keys, value): a Python aggregate in partial states, for groups of any size. initial() makes a state, update(state, Series) takes some of a group's values (nulls left out), merge(a, b) joins
+    two states, finish(state) gives the value. States go between tasks pickled; a task keeps one a group, hands over those it has at `most` groups, and only states are shuffled."""
+    import pickle
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    kept = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
+
+    def partial(batches):
+        states: dict = {}
+
+        def handed() -> pd.DataFrame:
+            out = pd.DataFrame(list(states), columns=keys)
+            out["state"] = [pickle.dumps(s) for s in states.values()]
+            states.clear()
+            return out
+
+        for rows in batches:
+            for key, part in rows.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
+                states[key] = update(states[key] if key in states else initial(), part["value"].dropna())
+            if len(states) > most:
+                yield handed()
+        yield handed()
+
+    def join(states: pd.Series):
+        whole = None
+        for s in states:
+            s = pickle.loads(s)
+            whole = s if whole is None else merge(whole, s)
+        return finish(whole)
+
+    join.__annotations__ = {"states": pd.Series, "return": float if result == "double" else str if result == "string" else int}
+    states = df.select(*keys, F.col(column).alias("value")).mapInPandas(partial, f"{kept}, state binary")
+    return states.groupBy(*keys).agg(pandas_udf(join, result)("state").alias("value"))
+
+
 def quantile(p: float) -> Callable[[Column], Column]:
+    """An exact quantile as an aggregate beside others. It holds a group's distinct values in one buffer; operators.quantile.group_quantiles finds the same without."""
     return lambda c: F.percentile(c, F.lit(float(p)))

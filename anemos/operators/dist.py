@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anemos.functions.aggs import Aggregate, aggregate, quantile
+from anemos.functions.aggs import Aggregate, aggregate
 from anemos.functions.bins import SPEED_EDGES, auto_edges, bin_index, bins, dist_edges, sector, sectors_table
 from anemos.functions.scalar import clean
 from anemos.operators.correl import ranked
 from anemos.operators.period import drop_thin_months, month_weights
+from anemos.operators.quantile import group_quantiles
 
 PERCENT = "%frequency"
 
@@ -171,7 +172,8 @@ def ti_by_speed(df: DataFrame, speed: str, std: str, edges: list[float] | None =
     edges = edges or SPEED_EDGES
     rows = turbulence(df, speed, std, min_speed).withColumn("bin", bin_index(F.col(speed), edges)).where("bin IS NOT NULL")
     t = F.col("ti")
-    out = rows.groupBy("bin").agg(F.avg(t).alias("mean_ti"), F.count(t).alias("ti_count"), quantile(percentile / 100)(t).alias("rep_ti"), F.stddev_samp(t).alias("ti_2sigma"))
+    out = rows.groupBy("bin").agg(F.avg(t).alias("mean_ti"), F.count(t).alias("ti_count"), F.stddev_samp(t).alias("ti_2sigma"))
+    out = out.join(F.broadcast(group_quantiles(rows, ["bin"], "ti", {"rep_ti": percentile / 100})), "bin")  # a row a bin
     dim = bins(df.sparkSession, edges).select("bin", ((F.col("bin_left") + F.col("bin_right")) / 2).alias("bin_mid"))
     out = out.join(F.broadcast(dim), "bin").withColumn("char_ti", F.col("mean_ti") + F.try_divide("ti_2sigma", "bin_mid"))
     return out.select("bin", "bin_mid", "mean_ti", "ti_count", "rep_ti", "ti_2sigma", "char_ti").dropna()

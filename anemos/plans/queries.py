@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from anemos.functions import bins as B
 from anemos.functions import scalar as S
 from anemos.functions import timeaxis as T
-from anemos.functions.aggs import quantile
+from anemos.functions.aggs import fold, python_aggregate, quantile
 from anemos.operators import calibrate as C
 from anemos.operators import correl as R
 from anemos.operators import dist as D
@@ -21,6 +21,8 @@ from anemos.operators import geo as G
 from anemos.operators import period as P
 from anemos.operators import shear as H
 from anemos.operators import station as M
+from anemos.operators.asof import asof
+from anemos.operators.quantile import group_quantiles
 from anemos.plans.views import ctes, met_events, met_h, ref_daily, station_docs, table, tgt_daily
 from anemos.sources.writers import per_mille
 
@@ -779,3 +781,55 @@ def q98_callable_aggregates(s, d):
     k = F.floor(F.col("spd80") / 5).cast("int")
     custom = lambda c: F.avg(c) + 2 * F.stddev_samp(c)
     return met_events(s, d).groupBy("event_type", k.alias("k")).agg(quantile(0.75)(F.col("spd80")).alias("p75"), custom(F.col("temp")).alias("custom"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+# ---- selection, Python aggregates, as-of joins ----
+@query("SELECT event_type, CAST(floor(spd80 / 5) AS INT) AS k, quantile_cont(temp, 0.1) AS p10, median(temp) AS p50, quantile_cont(temp, 0.999) AS p999 FROM met_events GROUP BY ALL", "p10 p50 p999")
+def q101_quantiles_by_selection(s, d):
+    rows = met_events(s, d).withColumn("k", F.floor(F.col("spd80") / 5).cast("int"))
+    return group_quantiles(rows, ["event_type", "k"], "temp", {"p10": 0.1, "p50": 0.5, "p999": 0.999})
+
+
+@query("SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS lower, quantile_cont(l_extendedprice, 0.95) AS upper FROM lineitem GROUP BY 1", "lower upper")
+def q101b_large_groups(s, d):
+    """A bound that the three groups are far beyond, so that they are cut down pass by pass."""
+    return group_quantiles(table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"lower": 0.25, "upper": 0.95}, most=200)
+
+
+@query("SELECT date_trunc('day', ts) AS ts, avg(temp) + 2 * stddev_samp(temp) AS temp FROM met_events GROUP BY 1", "temp")
+def q102_python_aggregate(s, d):
+    """The same as the Column callable lambda c: F.avg(c) + 2 * F.stddev_samp(c)."""
+    return P.average_by_period(met_events(s, d), "1D", ["temp"], method=python_aggregate(lambda v: v.mean() + 2 * v.std()), data_resolution="1h")
+
+
+@query("SELECT l_suppkey, sqrt(sum(l_quantity * l_quantity) / count(*)) AS value FROM lineitem GROUP BY 1", "value")
+def q102b_folded_aggregate(s, d):
+    """Root mean square of each supplier's quantities, by states of two numbers."""
+    return fold(table(s, d, "lineitem"), ["l_suppkey"], "l_quantity", lambda: (0.0, 0), lambda a, v: (a[0] + float((v * v).sum()), a[1] + len(v)), lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda a: (a[0] / a[1]) ** 0.5 if a[1] else None)
+
+
+PURCHASES = "SELECT user_id, ts, max(value) AS amount FROM events WHERE event_type = 'purchase' GROUP BY ALL"
+
+
+@query(f"SELECT l.event_id, l.ts, l.user_id, r.ts AS ts_right, r.amount FROM events l ASOF LEFT JOIN ({PURCHASES}) r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def q103_asof_backward(s, d):
+    """Each event with the last purchase of its user."""
+    e = table(s, d, "events")
+    return asof(e.select("event_id", "ts", "user_id"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("amount")), ["user_id"])
+
+
+@query("SELECT l.o_orderkey, l.ts, r.ts AS ts_right, r.line FROM (SELECT o_orderkey, o_orderdate AS ts FROM orders) l ASOF LEFT JOIN (SELECT l_shipdate AS ts, max(l_orderkey) AS line FROM lineitem GROUP BY 1) r ON l.ts <= r.ts")
+def q103b_asof_forward(s, d):
+    """Each order with the next day on which anything is shipped; days are few, so buckets are months."""
+    orders = table(s, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("ts"))
+    return asof(orders, table(s, d, "lineitem").select(F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("line")), direction="forward", bucket="month")
+
+
+@query(f"""WITH p AS ({PURCHASES}), x AS (SELECT l.event_id, l.ts, l.user_id, b.ts AS bt, b.amount AS ba, a.ts AS at_, a.amount AS aa FROM events l
+ ASOF LEFT JOIN p b ON l.user_id = b.user_id AND l.ts >= b.ts ASOF LEFT JOIN p a ON l.user_id = a.user_id AND l.ts <= a.ts),
+ y AS (SELECT *, bt IS NULL OR (at_ IS NOT NULL AND at_ - ts < ts - bt) AS later FROM x),
+ z AS (SELECT event_id, ts, user_id, CASE WHEN later THEN at_ ELSE bt END AS ts_right, CASE WHEN later THEN aa ELSE ba END AS amount FROM y)
+ SELECT event_id, ts, user_id, CASE WHEN abs(epoch_us(ts) - epoch_us(ts_right)) <= 86400000000 THEN ts_right END AS ts_right, CASE WHEN abs(epoch_us(ts) - epoch_us(ts_right)) <= 86400000000 THEN amount END AS amount FROM z""")
+def q103c_asof_nearest(s, d):
+    e = table(s, d, "events")
+    return asof(e.select("event_id", "ts", "user_id"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("amount")), ["user_id"], direction="nearest", within="1 day")
