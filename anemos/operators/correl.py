@@ -12,16 +12,45 @@ from pyspark.sql import functions as F
 from anemos.functions.bins import sector
 from anemos.functions.scalar import veer, wrap
 from anemos.functions.timeaxis import bounds, micros_between, resolution, shift
-from anemos.operators.period import average_by_period, merge_by_period, momm
+from anemos.functions.aggs import Aggregate
+from anemos.operators.period import average_by_period, merge_by_period, momm, overlap_start
+from anemos.operators.record import FitRecord, watched
+
+
+def renamed_apart(names: list[str], others: list[str], suffix: str = "_1") -> list[str]:
+    """names, all with the suffix if any of them is among others."""
+    return [n + suffix for n in names] if set(names) & set(others) else list(names)
+
+
+def set_apart(ref: DataFrame, target: DataFrame, suffix: str = "_ref", ts: str = "ts") -> DataFrame:
+    """ref with the columns renamed that target has too."""
+    return ref.withColumnsRenamed({c: c + suffix for c in ref.columns if c != ts and c in target.columns})
+
+
+def merge_references(refs: list[DataFrame], ts: str = "ts") -> DataFrame:
+    """The references' columns side by side at the timestamps that all have; a name that several have gets _0, _1, ... in their order."""
+    names = [c for r in refs for c in r.columns if c != ts]
+    count: dict[str, int] = {}
+    out = None
+    for r in refs:
+        new = {}
+        for c in r.columns:
+            if c != ts and names.count(c) > 1:
+                new[c] = f"{c}_{count.get(c, 0)}"
+                count[c] = count.get(c, 0) + 1
+        r = r.withColumnsRenamed(new)
+        out = r if out is None else out.join(r, ts)
+    return out
 
 
 def _r2(y: Column, predicted: Column) -> Column:
     return 1 - F.try_divide(F.sum((y - predicted) * (y - predicted)), F.count(y) * F.var_pop(y))
 
 
-def ols(data: DataFrame, x: str, y: str, through_origin: bool = False, by: list[str] | None = None) -> DataFrame:
-    """(by..., slope, offset, n) of least squares; groups of one row have none."""
-    rows = data.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+def ols(data: DataFrame, x: str, y: str, through_origin: bool = False, by: list[str] | None = None, record: FitRecord | None = None) -> DataFrame:
+    """(by..., slope, offset, n) of least squares; groups of one row have none. A record is told of the rows in the same pass."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    rows = watched(record, data, both, [x, y], method="ordinary least squares", through_origin=through_origin, by=by).where(both)
     if through_origin:
         slope, offset = F.try_divide(F.sum(F.col(x) * F.col(y)), F.sum(F.col(x) * F.col(x))), F.lit(0.0)
     else:
@@ -38,9 +67,10 @@ def ols_by_sector(data: DataFrame, x: str, y: str, direction: str, sectors: int
     return params.join(fitted, "sector")
 
 
-def orthogonal(data: DataFrame, x: str, y: str) -> DataFrame:
+def orthogonal(data: DataFrame, x: str, y: str, record: FitRecord | None = None) -> DataFrame:
     """(slope, offset, n): total least squares with equal weights, in closed form."""
-    rows = data.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    rows = watched(record, data, both, [x, y], method="orthogonal least squares").where(both)
     s = rows.agg(F.var_pop(x).alias("sxx"), F.var_pop(y).alias("syy"), F.covar_pop(x, y).alias("sxy"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.count(F.lit(1)).alias("n"))
     d = F.col("syy") - F.col("sxx")
     slope = F.try_divide(d + F.sqrt(d * d + 4 * F.col("sxy") * F.col("sxy")), 2 * F.col("sxy"))
@@ -96,15 +126,18 @@ def combine(target: DataFrame, synthetic: DataFrame, column: str, ts: str = "ts"
     return both.select(ts, F.coalesce(column, "predicted").alias(f"{column}_Synthesized")).where(F.col(f"{column}_Synthesized").isNotNull())
 
 
-def synthesize(ref: DataFrame, target: DataFrame, ref_speed: str, target_speed: str, period: str, ref_direction: str | None = None, sectors: int = 12, threshold: float | None = None, through_origin: bool = False, ts: str = "ts") -> DataFrame:
+def synthesize(ref: DataFrame, target: DataFrame, ref_speed: str, target_speed: str, period: str, ref_direction: str | None = None, sectors: int = 12, threshold: float | None = None, through_origin: bool = False, ts: str = "ts", ref_method: Aggregate = "mean", target_method: Aggregate = "mean") -> DataFrame:
     """Fit on the merged averages, by sector if a direction is given, and fill the target's averages from the reference's. All
-    bins are counted from the merged data's first, so those of both sides meet."""
+    bins are counted from the merged data's first, so those of both sides meet. Each side has its own aggregate. If both speeds have one name, the reference's
+    gets the suffix _ref."""
+    ref = set_apart(ref, target.select(ts, target_speed), ts=ts)
+    ref_speed = renamed_apart([ref_speed], [target_speed], "_ref")[0]
     wanted = [ref_speed, *([ref_direction] if ref_direction else [])]
     dirs = (ref_direction,) if ref_direction else ()
-    merged = merge_by_period(ref.select(ts, *wanted), target.select(ts, target_speed), period, dirs, threshold_1=threshold, threshold_2=threshold, ts=ts)
+    merged = merge_by_period(ref.select(ts, *wanted), target.select(ts, target_speed), period, dirs, method_1=ref_method, method_2=target_method, threshold_1=threshold, threshold_2=threshold, ts=ts)
     params = ols_by_sector(merged, ref_speed, target_speed, ref_direction, sectors, through_origin) if ref_direction else ols(merged, ref_speed, target_speed, through_origin)
     start = bounds(merged, ts)[0]
-    sides = [average_by_period(df.select(ts, *cols), period, cols, d, coverage_threshold=threshold, origin=start, fill=False, ts=ts) for df, cols, d in ((ref, wanted, dirs), (target, [target_speed], ()))]
+    sides = [average_by_period(df.select(ts, *cols), period, cols, d, m, threshold, origin=start, fill=False, ts=ts) for df, cols, d, m in ((ref, wanted, dirs, ref_method), (target, [target_speed], (), target_method))]
     return combine(sides[1], predict(sides[0], params, ref_speed, direction=ref_direction, sectors=sectors), target_speed, ts)
 
 
@@ -214,19 +247,24 @@ def speedsort_prepare(data: DataFrame, ref_speed: str, target_speed: str, ref_di
     return data if turn is None else adjust_low_reference(data, turn, ref_speed, target_speed, ref_direction, target_direction)
 
 
-def speedsort(ref: DataFrame, target: DataFrame, ref_speed: str, ref_direction: str, target_speed: str, target_direction: str, period: str, threshold: float | None = 0.9, sectors: int = 12, long_term: float | None = None, calms: bool = True, seed: int = 0, ts: str = "ts") -> tuple[DataFrame, float]:
+def speedsort(ref: DataFrame, target: DataFrame, ref_speed: str, ref_direction: str, target_speed: str, target_direction: str, period: str, threshold: float | None = 0.9, sectors: int = 12, long_term: float | None = None, calms: bool = True, seed: int = 0, ts: str = "ts", ref_method: Aggregate = "mean", target_method: Aggregate = "mean") -> tuple[DataFrame, float]:
     """(parameters, cutoff): both sides averaged and merged by period, prepared and fitted. The cutoff follows from the reference's long-term mean:
     `long_term`, or the mean of monthly means of the merged reference. Names of the columns of both sides must differ."""
     dirs = (ref_direction,), (target_direction,)
-    merged = merge_by_period(ref.select(ts, ref_speed, ref_direction), target.select(ts, target_speed, target_direction), period, *dirs, threshold_1=threshold, threshold_2=threshold, ts=ts)
+    merged = merge_by_period(ref.select(ts, ref_speed, ref_direction), target.select(ts, target_speed, target_direction), period, *dirs, ref_method, target_method, threshold, threshold, ts=ts)
     mean = long_term if long_term is not None else momm(merged.select(ts, ref_speed), [ref_speed], ts=ts).first()["momm"]
     cutoff = speedsort_cutoff(mean)
     prepared = speedsort_prepare(merged, ref_speed, target_speed, ref_direction, target_direction, calms, seed, ts)
     return speedsort_fit(prepared, ref_speed, target_speed, ref_direction, target_direction, cutoff, sectors), cutoff
 
 
-def speedsort_synthesize(ref: DataFrame, target: DataFrame, params: DataFrame, ref_speed: str, ref_direction: str, target_speed: str, target_direction: str, cutoff: float, sectors: int = 12, ts: str = "ts") -> DataFrame:
-    """(ts, <speed>_Synthesized, <direction>_Synthesized): the target where it has values, else the prediction; no speed under 0."""
+def speedsort_synthesize(ref: DataFrame, target: DataFrame, params: DataFrame, ref_speed: str, ref_direction: str, target_speed: str, target_direction: str, cutoff: float, sectors: int = 12, ts: str = "ts", period: str | None = None, threshold: float | None = None) -> DataFrame:
+    """(ts, <speed>_Synthesized, <direction>_Synthesized): the target where it has values, else the prediction; no speed under 0. With a period both sides are averaged first,
+    directions as vectors, in bins counted from the start of their overlap."""
+    if period is not None:
+        start = overlap_start(ref, target, period, ts)
+        average = lambda df, speed, direction: average_by_period(df.select(ts, speed, direction), period, [speed, direction], (direction,), coverage_threshold=threshold, origin=start, fill=False, ts=ts)
+        ref, target = average(ref, ref_speed, ref_direction), average(target, target_speed, target_direction)
     p = predict_direction(speedsort_predict(ref, params, ref_speed, ref_direction, cutoff, sectors), params, ref_direction, sectors)
     both = target.select(ts, target_speed, target_direction).join(p.select(ts, "predicted", "predicted_direction"), ts, "full")
     speed = F.coalesce(target_speed, "predicted")

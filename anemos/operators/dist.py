@@ -139,7 +139,7 @@ def freq_table(df: DataFrame, speed: str, direction: str, edges: list[float] | N
     for _ in range(100):
         out = table(factor)
         got = table_mean(out).first()[0]
-        apart = abs(100 * (target_mean - got) / got)
+        apart = round(abs(100 * (target_mean - got) / got), 12)
         if apart <= 0.01 or (apart in seen and apart == min(seen)):
             break
         seen.append(apart)

@@ -271,7 +271,13 @@ def q33_freq_table_seasonal(s, d):
     return D.freq_table(tgt_daily(s, d), "spd", "dir", seasonal=True)
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT spd, {SECTOR} AS sector FROM tgt_daily WHERE spd IS NOT NULL AND dir IS NOT NULL), first AS (SELECT 8.0 / avg(spd) AS f FROM t),
+rec AS (SELECT 0 AS i, f, avg(floor(spd * f + 0.5)) AS got, []::DOUBLE[] AS seen FROM t, first GROUP BY f
+ UNION ALL SELECT i + 1, nf, avg(floor(spd * nf + 0.5)), list_append(seen, apart) FROM (SELECT *, f * (8.0 / got) AS nf, round(abs(100 * (8.0 - got) / got), 12) AS apart FROM rec) r, t
+ WHERE apart > 0.01 AND NOT coalesce(list_contains(seen, apart) AND apart = list_min(seen), false) AND i < 99 GROUP BY i, nf, seen, apart),
+last AS (SELECT arg_max(f, i) AS f FROM rec), n AS (SELECT CAST(floor(spd * f + 0.5) AS INT) + 1 AS bin, sector, count(*) AS n FROM t, last GROUP BY ALL)
+SELECT b::INT AS bin, (b - 1.5)::DOUBLE AS bin_left, (b - 0.5)::DOUBLE AS bin_right, s::INT AS sector, coalesce(100.0 * n / (SELECT count(*) FROM t), 0) AS value
+FROM range(1, 42) x(b) CROSS JOIN range(1, 13) y(s) LEFT JOIN n ON n.bin = b AND n.sector = s""", "value")
 def q34_freq_table_target_mean(s, d):
     return D.freq_table(tgt_daily(s, d), "spd", "dir", target_mean=8.0)
 
@@ -833,3 +839,62 @@ def q103b_asof_forward(s, d):
 def q103c_asof_nearest(s, d):
     e = table(s, d, "events")
     return asof(e.select("event_id", "ts", "user_id"), e.where("event_type = 'purchase'").select("user_id", "ts", F.col("value").alias("amount")), ["user_id"], direction="nearest", within="1 day")
+
+
+# ---- fits applied ----
+@query(LAGGED + "SELECT ts, mt - b0 * mr - b1 * m1 + b0 * r + b1 * r1 AS predicted FROM x, s", "predicted")
+def q104_predict_multiple(s, d):
+    m = _lagged(s, d)
+    return R.predict_multiple(m, R.multiple(m, ["r", "r1"], "t"), ["r", "r1"]).select("ts", "predicted")
+
+
+@query(LAGGED + ", e AS (SELECT t, mt - b0 * mr - b1 * m1 + b0 * r + b1 * r1 AS p FROM x, s) SELECT 1 - sum((t - p) * (t - p)) / (count(*) * var_pop(t)) AS r2 FROM e", "r2")
+def q104b_r2_multiple(s, d):
+    m = _lagged(s, d)
+    return R.fit_r2_multiple(m, R.multiple(m, ["r", "r1"], "t"), ["r", "r1"], "t")
+
+
+@query(LAGGED + """, late AS (SELECT * FROM x WHERE ts >= TIMESTAMP '1996-01-01'), cl AS (SELECT covar_pop(r, r) AS a, covar_pop(r1, r1) AS b, covar_pop(r, r1) AS k, covar_pop(r, t) AS p, covar_pop(r1, t) AS q, avg(r) AS mr, avg(r1) AS m1, avg(t) AS mt FROM late),
+ sl AS (SELECT *, (p * b - q * k) / (a * b - k * k) AS b0, (q * a - p * k) / (a * b - k * k) AS b1 FROM cl)
+ SELECT ts, mt - b0 * mr - b1 * m1 + b0 * r + b1 * r1 AS "t_Synthesized" FROM x, sl WHERE ts < (SELECT min(ts) FROM late) UNION ALL SELECT ts, t FROM late""", '"t_Synthesized"')
+def q104c_synthesize_multiple(s, d):
+    m = _lagged(s, d)
+    return R.synthesize_multiple(m, m.where(F.col("ts") >= F.lit(datetime(1996, 1, 1)).cast("timestamp_ntz")), ["r", "r1"], "t")
+
+
+@query(MERGED + """, v AS (SELECT var_pop(r) AS sxx, var_pop(t) AS syy, covar_pop(t, r) AS sxy, avg(r) AS mx, avg(t) AS my FROM mm),
+b AS (SELECT *, (syy - sxx + sqrt((syy - sxx) * (syy - sxx) + 4 * sxy * sxy)) / (2 * sxy) AS slope FROM v) SELECT ts, slope * r + my - slope * mx AS predicted FROM mm, b""", "predicted")
+def q104d_predict_orthogonal(s, d):
+    m = _merged(s, d)
+    return R.predict(m, R.orthogonal(m, "r", "t"), "r").select("ts", "predicted")
+
+
+@query("SELECT a.ts, a.spd AS spd_0, b.spd AS spd_1, a.dir AS dir FROM ref_daily a JOIN tgt_daily b USING (ts)", "spd_0 spd_1 dir")
+def q104e_merge_references(s, d):
+    return R.merge_references([ref_daily(s, d), tgt_daily(s, d).select("ts", "spd")])
+
+
+@query(f"SELECT hour(ts)::INT AS hour, month(ts)::INT AS month, avg({ALPHA}) AS value FROM met_h WHERE {VALID} GROUP BY ALL", "value")
+def q105_shear_12x24(s, d):
+    return H.table_12x24_of(met_h(s, d), U, Z)
+
+
+@query(f"SELECT ts, CASE WHEN {VALID} THEN spd80 * pow(100.0 / 80, {ALPHA}) END AS scaled FROM met_h", "scaled")
+def q105b_shear_apply_by_timestamp(s, d):
+    return H.apply_by_timestamp(H.by_timestamp(met_h(s, d), U, Z), "spd80", 80, 100, name="scaled").select("ts", "scaled")
+
+
+def _profile_sql(power: bool) -> str:
+    speed, slope = ("exp(k) * pow(h, a)", ALPHA) if power else ("a * ln(h) + k", LIN)
+    mean = "(ln(spd80) + ln(spd60) + ln(spd40)) / 3" if power else "(spd80 + spd60 + spd40) / 3"
+    return f"WITH m AS (SELECT {MEANS} FROM met_events WHERE {VALID}), f AS (SELECT {slope} AS a, {mean} - {slope} * {MX} AS k FROM m) SELECT h::DOUBLE AS height, {speed} AS speed FROM f, range(1, 121) t(h)"
+
+
+@query(_profile_sql(True), "speed")
+def q105c_power_profile(s, d):
+    return H.profile(H.average(met_events(s, d), U, Z))
+
+
+@query(_profile_sql(False), "speed")
+def q105d_log_profile(s, d):
+    return H.profile(H.average(met_events(s, d), U, Z, method="log_law"), "log_law")

@@ -23,6 +23,8 @@ def ctes(sql: str) -> str:
     head = ", ".join(f"{n} AS ({CTE[n]})" for n in names)
     if not head:
         return sql
+    if sql.strip().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {sql.strip()[15:]}"
     return f"WITH {head} {', ' + sql.strip()[5:] if sql.strip().startswith('WITH ') else sql}"
 
 
