@@ -96,6 +96,29 @@ def binaries(buf: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int32)), pa.py_buffer(np.ascontiguousarray(buf).view(np.uint8))])
 
 
+class Aside:
+    """Columns that an operator doesn't read, put into one struct whose name no column has, so that none of their names can meet one of the operator's own."""
+
+    def __init__(self, docs: DataFrame, used: list[str], kept: list[str] | None = None):
+        self.columns = docs.columns if kept is None else kept
+        self.rest = [c for c in self.columns if c not in used]
+        self.name = free_name(docs.columns, "aside")
+        named = [F.col(f"`{c}`") for c in dict.fromkeys(used) if c in docs.columns]
+        self.docs = docs.select(*named, F.struct(*[F.col(f"`{c}`") for c in self.rest]).alias(self.name)) if self.rest else docs.select(*named)
+
+    def back(self, columns: list[str] | None = None) -> list[Column]:
+        """The columns as they were, to be selected from what the operator made of `docs`."""
+        return [(F.col(self.name)[c] if c in self.rest else F.col(f"`{c}`")).alias(c) for c in (self.columns if columns is None else columns)]
+
+
+def free_name(taken: list[str], like: str) -> str:
+    """A column name that none of `taken` is, whatever its case."""
+    lower = {c.lower() for c in taken}
+    while like.lower() in lower:
+        like = f"_{like}"
+    return like
+
+
 def places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each run, one run after the other."""
     before = np.cumsum(counts) - counts

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anemos.llm._common import LOWER, SpanHash, checkpointed, sized, text_buffer, text_slices
+from anemos.llm._common import LOWER, Aside, SpanHash, checkpointed, sized, text_buffer, text_slices
 
 KEPT = np.zeros(256, bool)
 KEPT[48:58] = KEPT[97:123] = KEPT[128:] = True
@@ -357,6 +357,9 @@ def _parts(items: DataFrame, most: int) -> Iterator[tuple[list, list]]:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that hold no region of any benchmark item, with all their columns. A document is its id, which may be null, and
     its text; rows that repeat both go or stay together."""
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
-    held = contaminated(docs.select(key.alias("held"), text_col), benchmark, "held", text_col, **options).select("held").distinct()
-    return docs.join(sized(checkpointed(held)), key == F.col("held"), "left_anti").select(docs.columns)
+    aside = Aside(docs, [id_col, text_col])
+    rows = aside.docs.withColumnRenamed(id_col, "own_id")
+    key = F.struct(F.col("own_id").alias("id"), F.xxhash64(F.col(text_col)).alias("text"))
+    held = contaminated(rows.select(key.alias("held"), text_col), benchmark, "held", text_col, **options).select("held").distinct()
+    left = rows.join(sized(checkpointed(held)), key == F.col("held"), "left_anti")
+    return left.withColumnRenamed("own_id", id_col).select(*aside.back())

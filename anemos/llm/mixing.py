@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anemos.llm._common import checkpointed, sized
+from anemos.llm._common import Aside, checkpointed, sized
 
 #: Blocks of a source, and sub-blocks of the block in which its quota ends. Both bound what one window sorts.
 BLOCKS = 1024
@@ -170,10 +170,11 @@ def mix_sources(docs: DataFrame, shards: int = 8, seed: str = "mix:", most: int
 
 
 def draw_mix(docs: DataFrame, **options) -> DataFrame:
-    """docs with each document as many times as the mix takes it, columns as in docs but for those that start with mix_, dealt to the mix's shards and shuffled
+    """docs with each document as many times as the mix takes it, columns as in docs whatever their names, dealt to the mix's shards and shuffled
     within each by a digest of id and time."""
-    mixed = mix_sources(docs, **options)
     id_col = options.get("id_col", "doc_id")
+    aside = Aside(docs, [id_col, options.get("text_col", "text"), options.get("source_col", "source")])
+    mixed = mix_sources(aside.docs, **options)
     one = mixed.select("*", F.posexplode("mix_shards").alias("mix_time", "mix_shard")).withColumn("mix_order", F.xxhash64(id_col, "mix_time"))
     dealt = one.repartition(F.col("mix_shard"), F.pmod("mix_order", F.lit(64))).sortWithinPartitions("mix_shard", "mix_order")
-    return dealt.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")])
+    return dealt.select(*aside.back())

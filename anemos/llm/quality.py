@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from anemos.llm._common import LOWER, SpanHash, text_slices, word_spans
+from anemos.llm._common import LOWER, SpanHash, free_name, text_slices, word_spans
 
 #: Terms: hashed words, hashed 4-grams of character classes, and binned shares of repeated words.
 WORD_TERMS, SHAPE_TERMS, REPEAT_TERMS = 2048, 2048, 64
@@ -150,5 +150,6 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
 def quality_filter(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **fit) -> DataFrame:
     """The documents whose score reaches the threshold, with their own columns only. With no usable label all stay."""
-    scored = score_quality(docs, fit_quality(docs, labels, **fit), score_col="_quality_score")
-    return scored.where(F.col("_quality_score") >= threshold).select(docs.columns)
+    score = free_name(docs.columns, "quality_score")
+    scored = score_quality(docs, fit_quality(docs, labels, **fit), score_col=score)
+    return scored.where(F.col(score) >= threshold).drop(score)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from anemos.llm._common import checkpointed
+from anemos.llm._common import Aside, checkpointed
 
 BUCKETS = 512
 
@@ -154,8 +154,9 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     """
     if (shards is None) == (target_bytes is None):
         raise ValueError("give shards or target_bytes")
-    keep = docs.columns if keep is None else keep
-    kept = [c for c in keep if c not in ("size", "text_crc32", "shard", "slot")]
+    wanted = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "text_crc32", "shard", "slot")]
+    aside = Aside(docs, [id_col, text_col, *dims, *labels], wanted)
+    docs, kept = aside.docs, [c for c in aside.docs.columns if c in wanted or c == aside.name]
     text = F.col(f"`{text_col}`")
     meta = {"_size": text_bytes(text), "_crc": text_crc(text), "_idh": F.xxhash64(id_col), "_id": F.coalesce(F.col(id_col).cast("long") if dict(docs.dtypes)[id_col] != "string" else F.crc32(F.col(id_col)), F.lit(-1))}
     meta |= {f"_n{i}": F.coalesce(F.col(f"`{c}`").cast("long"), F.lit(-1)) for i, c in enumerate(dims) if c in docs.columns}
@@ -178,4 +179,4 @@ def kd_shards(docs: DataFrame, shards: int | None = 8, target_bytes: int | None
     before = counts.select("shard", "_bucket", (F.sum("_count").over(W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("_count")).alias("_before"))
     here = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_idh", "_id", "_crc", "_size"))
     out = placed.withColumn("_here", here).join(before, ["shard", "_bucket"])
-    return out.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_before") + F.col("_here") - 1).cast("long").alias("slot"))
+    return out.select(*aside.back(), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", (F.col("_before") + F.col("_here") - 1).cast("long").alias("slot"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,14 +46,19 @@ def unchunked(body: bytes) -> bytes | None:
         at = line + 4 + n
 
 
-def records(page_id: str | None, url: str | None, payload: bytes | None, length: int, digest: str, first: str | None, segment_bytes: int) -> Iterator[bytes]:
-    """The WARC records of one page without their final blank lines: a revisit, or a response in one or several segments."""
-    name = f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else f"<urn:page:{page_id}:{uuid.uuid4()}>"
+def record_name(page_id: str, digest: str) -> str:
+    return f"<urn:page:{page_id}:{uuid.uuid5(uuid.NAMESPACE_URL, digest)}>"
+
+
+def records(page_id: str | None, url: str | None, payload: bytes | None, length: int, digest: str, first: str | None, segment_bytes: int, again: bool = False) -> Iterator[bytes]:
+    """The WARC records of one page without their final blank lines: a revisit, or a response in one or several segments. A page's record is named by its id and payload, so that a
+    revisit can tell the name of the response it refers to; `again`: rows before have the same id and payload, and the name."""
+    name = f"<urn:uuid:{uuid.uuid4()}>" if page_id is None else record_name(page_id, f"{digest}/{uuid.uuid4()}" if again or first is not None else digest)
     target = f"WARC-Target-URI: {re.sub(r'[\x00-\x20]', '_', url)}\r\n" if url else ""
     shared = f"WARC-Date: 2024-01-01T00:00:00Z\r\n{target}WARC-Payload-Digest: sha256:{digest}\r\nContent-Type: application/http;msgtype=response\r\n"
     if first is not None:
         block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
-        head = f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {name}\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: <urn:page:{first}>\r\n{shared}Content-Length: {len(block)}\r\n\r\n"
+        head = f"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: {name}\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: {record_name(first, digest)}\r\n{shared}Content-Length: {len(block)}\r\n\r\n"
         yield head.encode() + block
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload or b"")
@@ -83,13 +89,14 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     rows = pages.select(key.alias("key"), nameless.alias("nameless"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
     rows = rows.repartition(parts, "key", "nameless", "digest").join(revisits, ["key", "nameless", "digest"], "left")
     rows = rows.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
+    rows = rows.withColumn("again", F.row_number().over(W.partitionBy("key", "nameless", "digest").orderBy(F.col("n"))) > 1)  # dealt by these keys already
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
             for r in range(batch.num_rows):
-                key_, url, payload_, digest, n, first = (c[r].as_py() for c in batch.columns)
-                for record in records(key_, url, payload_, n, digest, first, segment_bytes):
+                key_, url, payload_, digest, n, first, again = (c[r].as_py() for c in batch.columns)
+                for record in records(key_, url, payload_, n, digest, first, segment_bytes, again):
                     out.append(record)
                     size += len(record)
                 if size > 8 << 20:
@@ -97,7 +104,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    made = rows.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "url", "payload", "digest", "n", "first").mapInArrow(build, "value binary")
+    made = rows.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "url", "payload", "digest", "n", "first", "again").mapInArrow(build, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
@@ -209,7 +216,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     schema = T.StructType.fromDDL(PAGES)
 
     def named(record: str | None) -> str | None:
-        return record.removeprefix("<urn:page:").removesuffix(">") if record and record.startswith("<urn:page:") else None
+        return record.removeprefix("<urn:page:").removesuffix(">").rsplit(":", 1)[0] if record and record.startswith("<urn:page:") else None
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,7 +229,6 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 lower = head.lower()
                 digest = (digest or "").removeprefix("sha256:")
                 page = named(name)
-                page = page.rsplit(":", 1)[0] if page is not None else None
                 if kind == "revisit":
                     length = re.search(rb"content-length: *(\d{1,18})\b", lower)
                     rows.append((page, uri, kind, named(refers), None, int(length[1]) if length else None, digest, bool(whole and length)))
