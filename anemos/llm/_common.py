@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,11 +38,26 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+_freed = 0.0
+
+
+def freed(spark: SparkSession) -> None:
+    """Let the driver give up what nothing refers to any more, every few seconds at most: Spark removes shuffle files (and, if told to, checkpoints) when their
+    handles are collected, which a driver with free memory puts off, while rounds of joins fill the disks."""
+    global _freed
+    if time.monotonic() - _freed > 3:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _freed = time.monotonic()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write df to the cluster's checkpoint folder and read it back, so that a lost executor costs no recomputation of what
     lies before."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    freed(df.sparkSession)
+    return out
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -297,4 +314,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a large in-between result as Parquet in the shared folder and read it back: compressed, and with no lineage."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    freed(df.sparkSession)
     return df.sparkSession.read.parquet(path)
