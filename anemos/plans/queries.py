@@ -672,7 +672,7 @@ def q90_station_header(s, d):
     return J.horizontal(rows, ["name", "measurement_station_type_id", "latitude_ddeg", "notes", "mast_geometry_id", "mast_properties.notes", "device_datum_plane_height_m", "vertical_profiler_properties.notes"], ["model", "location"], titles={"mast_properties.notes": "mast_notes", "vertical_profiler_properties.notes": "profiler_notes"})
 
 
-STRETCHES = """SELECT l_orderkey AS model, (row_number() OVER (PARTITION BY l_orderkey, step ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS point, 'P' || l_linenumber AS name, l_quantity AS height_m, l_discount AS slope,
+STRETCHES = """SELECT l_orderkey AS model, (row_number() OVER (PARTITION BY l_orderkey, step ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) - 1)::INT AS point, 'P' || l_linenumber AS name, l_quantity AS height_m, l_discount AS slope,
  l_shipdate + to_days(a) AS date_from, CASE WHEN b IS NOT NULL THEN l_shipdate + to_days(b) END AS date_to, CASE WHEN step < 3 THEN l_suppkey ELSE l_partkey END::VARCHAR AS serial_number,
  CASE WHEN step < 3 THEN l_tax END AS calibration_slope, CASE WHEN step > 1 THEN (l_partkey % 360)::VARCHAR END AS boom, l_returnflag, l_tax
  FROM lineitem, (VALUES (1, 0, 5), (2, 5, 20), (3, 20, NULL)) t(step, a, b) WHERE l_orderkey IN (SELECT o_orderkey FROM orders)"""
@@ -684,7 +684,7 @@ def q91_station_measurements(s, d):
     return M.measurements(_models(s, d)).select("model", "point", got("name").alias("name"), got("height_m").cast("double").alias("height_m"), got("logger_measurement_config.slope").cast("double").alias("slope"), "date_from", "date_to", got("sensor.serial_number").alias("serial_number"), got("calibration.slope").cast("double").alias("calibration_slope"), got("boom_orientation_deg").alias("boom"))
 
 
-@query(f"SELECT o_orderkey AS model, w.name, height_m FROM orders CROSS JOIN (VALUES ('P1'), ('P3'), ('none')) w(name) LEFT JOIN (SELECT l_orderkey, 'P' || l_linenumber AS name, arg_min(l_quantity, (l_partkey, l_suppkey)) AS height_m FROM lineitem GROUP BY ALL) p ON p.l_orderkey = o_orderkey AND p.name = w.name WHERE o_orderkey IN ({LINED})")
+@query(f"SELECT o_orderkey AS model, w.name, height_m FROM orders CROSS JOIN (VALUES ('P1'), ('P3'), ('none')) w(name) LEFT JOIN (SELECT l_orderkey, 'P' || l_linenumber AS name, arg_min(l_quantity, (l_partkey, l_suppkey, l_quantity)) AS height_m FROM lineitem GROUP BY ALL) p ON p.l_orderkey = o_orderkey AND p.name = w.name WHERE o_orderkey IN ({LINED})")
 def q92_station_heights(s, d):
     return M.heights(_models(s, d), ["P1", "P3", "none"])
 
@@ -734,7 +734,7 @@ MODEL_SCHEMA = {
 
 
 @query("""WITH o AS (SELECT o_orderkey AS model, o_orderpriority AS author, o_orderstatus AS status, n FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
- p AS (SELECT l_orderkey AS model, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_tax FROM lineitem WHERE l_orderkey IN (SELECT model FROM o))
+ p AS (SELECT l_orderkey AS model, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_shipdate) - 1 AS i, l_tax FROM lineitem WHERE l_orderkey IN (SELECT model FROM o))
  SELECT model, '$.author' AS path, 'enum' AS rule FROM o WHERE author NOT IN ('1-URGENT', '2-HIGH', '5-LOW')
  UNION ALL SELECT model, '$.measurement_location[0].name', 'pattern' FROM o WHERE model % 10 = 9
  UNION ALL SELECT model, '$.measurement_location[0].measurement_point', 'maxItems' FROM o WHERE n > 6

@@ -71,7 +71,7 @@ def station_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         one(F.col("l_discount").alias("slope"), F.col("l_tax").alias("offset"), day(0).alias("date_from"), open_end).alias("logger_measurement_config"), sensors.alias("sensor"),
         one((F.col("l_partkey") % 360).alias("boom_orientation_deg"), day(5).alias("date_from"), open_end).alias("mounting_arrangement"),
     )
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", point.alias("p")))), lambda x: x["p"]).alias("measurement_point"))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate", point.alias("p")))), lambda x: x["p"]).alias("measurement_point"))
     key = F.col("o_orderkey")
     mast = F.when(F.col("o_orderstatus") == "F", F.struct(F.col("o_orderpriority").alias("mast_geometry_id"), F.lit("n").alias("notes")))
     profiler = F.when(F.col("o_orderstatus") != "F", one((key % 9).cast("int").alias("device_datum_plane_height_m"), F.lit("v").alias("notes")))
