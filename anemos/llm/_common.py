@@ -236,22 +236,31 @@ def tiles(rows: DataFrame, key: list[str], member: str, most: int) -> DataFrame:
     )
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Links up to which their components are searched in one partition: some 10 MB, a few seconds a round.
+FEW_LINKS = 200_000
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, few: int = FEW_LINKS) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b; any comparable type); component is the smallest node
     reachable. Alternates the two star contractions: each node's larger neighbours, then its smaller ones, are hung on the
     smallest. A node's smallest neighbour is found with partial aggregates and joined back, so a node with very many
-    neighbours is split by adaptive execution like any skewed join. Each round is written to the checkpoint folder."""
+    neighbours is split by adaptive execution like any skewed join. Each round is written to the checkpoint folder. At most `few`
+    links (counted; a round makes no more of them) lie in one partition, where the same rounds need no shuffle."""
     e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("v <> u").distinct()
     e = checkpointed(e)
-    last = None
+    n = e.count()
+    if not n:
+        return e.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    together = (lambda t: t.coalesce(1)) if n <= few else (lambda t: t)
+    e, last = together(e), None
     for _ in range(rounds):
         low = e.groupBy("v").agg(F.min("u").alias("m"))
         up = low.withColumnRenamed("v", "u")
         large = e.join(up, "u", "left").select("v", F.coalesce("m", "u").alias("u"))
-        e1 = large.unionByName(low.select("v", F.col("m").alias("u")))
+        e1 = together(large.unionByName(low.select("v", F.col("m").alias("u"))))
         low1 = e1.groupBy("v").agg(F.min("u").alias("m"))
         small = e1.join(low1, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        e = checkpointed(small.unionByName(low1.select("v", F.col("m").alias("u"))).distinct())
+        e = together(checkpointed(together(small.unionByName(low1.select("v", F.col("m").alias("u")))).distinct()))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == last:  # only stars stay as they are
             break

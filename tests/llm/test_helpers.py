@@ -46,10 +46,11 @@ def test_equal_spans_have_equal_hashes():
     assert len(set(h.every(6).tolist())) == len(buf) - 6 + 1 - 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, i) for i in range(4000, 4100)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), few=few).collect()}
     nodes = sorted({x for p in pairs for x in p if p[0] != p[1]})
     near = np.zeros((len(nodes),) * 2, bool)
     for a, b in pairs:
