@@ -235,16 +235,34 @@ def test_lines_against_brute_force(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
+def edited(base, kind, words, rng):
+    """base with words replaced, put in, left out or all of these, as many as similarity 0.8 allows."""
+    out, n = list(base), len(base)
+    if kind == "replaced":
+        for at in rng.choice(n, n // 5, replace=False):
+            out[at] = str(rng.choice(words))
+    elif kind == "put in":
+        for _ in range(n // 4):
+            out.insert(int(rng.integers(0, len(out) + 1)), str(rng.choice(words)))
+    elif kind == "left out":
+        out = [base[i] for i in sorted(rng.choice(n, n - n // 5, replace=False))]
+    else:
+        for _ in range(n // 5):
+            at = int(rng.integers(0, len(out)))
+            out[at : at + 1] = [[str(rng.choice(words))], [out[at], str(rng.choice(words))], []][rng.integers(0, 3)]
+    return out
+
+
 def test_line_recall_at_the_threshold(spark):
+    """Nine tenths of the pairs at similarity 0.8 are found, whatever the length and the kind of edit."""
     rng = np.random.default_rng(4)
-    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(4000)]
-    docs = []
-    for k in range(400):
-        n = [10, 20, 50, 100][k % 4]
-        base = [str(w) for w in rng.choice(words, n)]
-        near = list(base)
-        for at in rng.choice(n, n // 5, replace=False):
-            near[at] = str(rng.choice(words))
-        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
-    got = {r["doc"]["id"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc").collect()}
-    assert len(got) >= 0.9 * 400 and all(i % 2 for i in got)
+    words = list({"".join(rng.choice(list("abcdefghij"), rng.integers(4, 9))) for _ in range(6000)})
+    cases = [(n, kind) for n in (5, 10, 13, 20, 24, 28, 35, 40, 50, 120) for kind in ("replaced", "put in", "left out", "mixed")]
+    each, docs = 100, []
+    for k in range(each * len(cases)):
+        n, kind = cases[k % len(cases)]
+        base = [str(w) for w in rng.choice(words, n, replace=False)]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(base, kind, words, rng)))]
+    got = [r["doc"]["id"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc").collect()]
+    found = np.bincount([i // 2 % len(cases) for i in got], minlength=len(cases))
+    assert all(i % 2 for i in got) and found.min() >= 0.9 * each, dict(zip(cases, found))
