@@ -272,6 +272,14 @@ def connected_components(edges: DataFrame, rounds: int = 60, few: int = FEW_LINK
     )
 
 
+def merged_components(first: DataFrame, later: DataFrame) -> DataFrame:
+    """(node, component) of a graph whose links were found in turns: `first` are components of some links, `later` those of links between
+    components of `first` (named by their smallest nodes) and nodes beyond them."""
+    end = later.select(F.col("node").alias("component"), F.col("component").alias("end"))
+    beyond = later.join(first.select(F.col("component").alias("node")).distinct(), "node", "left_anti").select("node", "component")
+    return first.join(end, "component", "left").select("node", F.coalesce("end", "component").alias("component")).unionByName(beyond)
+
+
 #: Fixed odd base and byte values of the polynomial hash (arbitrary; drawn once from a seeded generator).
 _rng = np.random.default_rng(20240607)
 BYTE_VALUE = _rng.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

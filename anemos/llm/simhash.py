@@ -185,7 +185,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Groups are those of simhash_groups. With a `similarity`, documents are instead linked by the exact Jaccard similarity of their
     five-word shingles: SimHash within `radius` bits proposes pairs first, and MinHash bands what lies further apart (see
-    minhash.shingle_links)."""
+    minhash.shingle_groups)."""
     if similarity is not None:
         from anemos.llm.minhash import shingle_dedup
 
