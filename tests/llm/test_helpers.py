@@ -5,7 +5,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from anemos.llm._common import SpanHash, connected_components, labels_of, text_slices, word_spans
+from anemos.llm._common import SpanHash, connected_components, labels_of, merged_components, text_slices, word_spans
 from anemos.llm.simhash import xxh64
 
 
@@ -70,11 +70,11 @@ def test_components_of_links_found_in_turns(spark):
     rng = np.random.default_rng(5)
     links = [tuple(int(x) for x in rng.integers(0, 120, 2)) for _ in range(90)]
     make = lambda rows: spark.createDataFrame(rows, "a long, b long")
-    whole = {tuple(r) for r in _common.connected_components(make(links)).collect()}
-    first = _common.connected_components(make(links[:40]))
+    whole = {tuple(r) for r in connected_components(make(links)).collect()}
+    first = connected_components(make(links[:40]))
     part = {r["node"]: r["component"] for r in first.collect()}
-    later = _common.connected_components(make([(part.get(a, a), part.get(b, b)) for a, b in links[40:]]))
-    assert {tuple(r) for r in _common.merged_components(first, later).collect()} == whole
+    later = connected_components(make([(part.get(a, a), part.get(b, b)) for a, b in links[40:]]))
+    assert {tuple(r) for r in merged_components(first, later).collect()} == whole
     none = make([])
-    assert _common.merged_components(_common.connected_components(none), _common.connected_components(none)).count() == 0
-    assert {tuple(r) for r in _common.merged_components(_common.connected_components(none), later).collect()} == {tuple(r) for r in later.collect()}
+    assert merged_components(connected_components(none), connected_components(none)).count() == 0
+    assert {tuple(r) for r in merged_components(connected_components(none), later).collect()} == {tuple(r) for r in later.collect()}
