@@ -266,3 +266,22 @@ def test_line_recall_at_the_threshold(spark):
     got = [r["doc"]["id"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc").collect()]
     found = np.bincount([i // 2 % len(cases) for i in got], minlength=len(cases))
     assert all(i % 2 for i in got) and found.min() >= 0.9 * each, dict(zip(cases, found))
+
+
+def test_no_pair_of_lines_at_the_threshold_is_left_out(spark):
+    """Every pair at word similarity 0.8 is found, whatever the length and the kind of edit, also where edits stand five words apart and leave no run of five."""
+    rng = np.random.default_rng(6)
+    words = list({"".join(rng.choice(list("abcdefghij"), rng.integers(4, 9))) for _ in range(6000)})
+    common = words[:40]
+    docs, k = [], 0
+    for n in (5, 6, 9, 10, 14, 19, 20, 21, 24, 29, 40, 44, 75, 120):
+        for kind in ("replaced", "put in", "left out", "mixed", "spread"):
+            for _ in range(20):
+                base = [str(rng.choice(common if rng.random() < 0.5 else words)) for _ in range(n - 1)] + [f"own{k}"]
+                rng.shuffle(base)
+                other = [f"new{k}" if kind == "spread" and i % 5 == 4 else w for i, w in enumerate(edited(base, kind, words, rng) if kind != "spread" else base)]
+                if base != other and min(len(base), len(other)) >= 0.8 * max(len(base), len(other)) and edits(base, other) <= 0.2 * max(len(base), len(other)) + 1e-9:
+                    docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+                    k += 1
+    got = {r["doc"]["id"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc").collect()}
+    assert k > 1200 and not {i for i, _ in docs if i % 2} - got
