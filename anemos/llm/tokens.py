@@ -30,6 +30,8 @@ INDEX_MAGIC, TABLE_MAGIC, END_MAGIC, CHECKED = 0x184D2A51, 0x184D2A5E, 0x8F92EAB
 LEAST_BYTES = 4 << 20
 #: Words and ids that a worker process remembers.
 KNOWN_WORDS, KNOWN_IDS = 1 << 20, 1 << 23
+#: Words that are encoded together, as one text already cut into words: each is encoded by itself, but makes no object of its own.
+TOGETHER = 512
 
 
 @functools.lru_cache(2)
@@ -45,7 +47,7 @@ class Encoder:
     turn, and each different word is encoded once, as long as it is remembered."""
 
     def __init__(self, tokenizer: str):
-        self.encode = _tokenizer(tokenizer).encode_batch_fast
+        self.encode = _tokenizer(tokenizer).encode_batch
         self.forget()
 
     def forget(self) -> None:
@@ -59,10 +61,13 @@ class Encoder:
         coded = words.dictionary_encode()
         unique = coded.dictionary.to_pylist()
         new = [w for w in unique if w not in self.number]
-        for w, e in zip(new, self.encode([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            self.number[w] = len(self.number)
-            self.ids.extend(e.ids)
-            self.bounds.append(len(self.ids))
+        for lo in range(0, len(new), TOGETHER):
+            some = new[lo : lo + TOGETHER]
+            coded_words = self.encode([[w.decode("utf-8", "replace") for w in some]], is_pretokenized=True, add_special_tokens=False)[0]
+            n = np.bincount(np.array(coded_words.word_ids, np.int64), minlength=len(some))
+            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
+            self.bounds.frombytes((len(self.ids) + np.cumsum(n)).astype(np.int64).tobytes())
+            self.ids.extend(coded_words.ids)
         at = np.array([self.number[w] for w in unique], np.int64)[coded.indices.to_numpy()]
         bounds = np.array(self.bounds)
         n = bounds[at + 1] - bounds[at]

@@ -117,3 +117,12 @@ def test_empty_table_and_text_ids(spark, tmp_path):
     assert read_tokens(spark, str(tmp_path / "none"), "name", "string").count() == 0
     write_tokens(df, str(tmp_path / "two"), MODEL, id_col="name", text_col="body")
     assert [tuple(r) for r in read_tokens(spark, str(tmp_path / "two"), "name", "string").select("name", "start", "n_tokens").orderBy("name").collect()] == [("a", 0, 1), ("b", 1, 3)]
+
+
+def test_words_are_encoded_together():
+    encoder, asked = Encoder(open(MODEL, encoding="utf-8").read()), []
+    encode = encoder.encode
+    encoder.encode = lambda inputs, **options: asked.extend(inputs) or encode(inputs, **options)
+    text = " ".join(f"wörd{i}'s" for i in range(1500))
+    buf = np.frombuffer(text.encode(), np.uint8)
+    assert encoder(buf, np.array([0, len(buf)]))[0].tolist() == whole([text])[0] and len(asked) <= 3
