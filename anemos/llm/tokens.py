@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 from array import array
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow.fs import FileSystem
@@ -42,33 +44,91 @@ def _tokenizer(text: str):
     return Tokenizer.from_str(text)
 
 
+class Letters:
+    """A short way to the ids of words of letters (ASCII and Latin-1), with or without commas and full stops at the end: what the tokenizer's normalizer
+    and pre-tokenizer make of each letter is asked of them once, and whether they make the same of it next to any other and part letters from the points. Where they do,
+    a word goes to the tokenizer's model as they would hand it on; `shape` matches no word otherwise."""
+
+    ALPHABET = [c for c in map(chr, range(256)) if c.isalpha()]
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.tails = tokenizer, {}
+        alone = {c: self.pieces(c) for c in self.ALPHABET}
+        letters = [c for c in self.ALPHABET if len(alone[c]) == 1]
+        self.table = {ord(c): alone[c][0] for c in letters}
+        special = any(set(t.content) <= set(letters + [",", "."]) for t in tokenizer.get_added_tokens_decoder().values())
+        pairs = "".join(a + b for a in letters for b in letters)  # each letter before and after each
+        parted = all(self.pieces(c + t + t + c) == self.pieces(c) + self.pieces(t + t) + self.pieces(c) for c in letters for t in (",", ".", ",.", ".,"))
+        holds = letters and parted and not special and self.pieces(pairs) == [pairs.translate(self.table)]
+        self.shape = re.compile(f"([{''.join(letters)}]+)([,.]*)" if holds else "(?!)()()")
+
+    def pieces(self, text: str) -> list[str]:
+        t = self.tokenizer
+        text = t.normalizer.normalize_str(text) if t.normalizer else text
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)] if t.pre_tokenizer else [text]
+
+    def ids(self, word: re.Match) -> list[int]:
+        """The ids of a word that `shape` matches wholly."""
+        letters, tail = word.groups()
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters.translate(self.table))]
+        if not tail:
+            return ids
+        if tail not in self.tails:
+            if len(self.tails) > 1000:
+                self.tails.clear()
+            self.tails[tail] = self.tokenizer.encode(tail, add_special_tokens=False).ids
+        return ids + self.tails[tail]
+
+
+@functools.lru_cache(2)
+def _letters(tokenizer: str) -> Letters:
+    return Letters(_tokenizer(tokenizer))
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that drops white space and never joins what it parts: so the ids of a text are those of its words in
     turn, and each different word is encoded once, as long as it is remembered."""
 
     def __init__(self, tokenizer: str):
-        self.encode = _tokenizer(tokenizer).encode_batch
+        self.encode, self.letters = _tokenizer(tokenizer).encode_batch, _letters(tokenizer)
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.ids, self.bounds = {}, array("I"), array("q", [0])
+        self.number, self.ids, self.bounds = pa.array([], pa.binary()), array("I"), array("q", [0])
+
+    def learn(self, new: pa.Array) -> None:
+        """Remember words, numbered in this order, and their ids."""
+        words = [w.decode("utf-8", "replace") for w in new.to_pylist()]
+        short = [self.letters.shape.fullmatch(w) for w in words]
+        rest = [w for w, m in zip(words, short) if not m]
+        long_ids, cut = array("I"), [np.zeros(1, np.int64)]
+        for lo in range(0, len(rest), TOGETHER):
+            some = rest[lo : lo + TOGETHER]
+            coded = self.encode([some], is_pretokenized=True, add_special_tokens=False)[0]
+            cut.append(len(long_ids) + np.cumsum(np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))))
+            long_ids.extend(coded.ids)
+        cut, k = np.concatenate(cut).tolist(), 0
+        for m in short:
+            if m:
+                self.ids.extend(self.letters.ids(m))
+            else:
+                self.ids.extend(long_ids[cut[k] : cut[k + 1]])
+                k += 1
+            self.bounds.append(len(self.ids))
+        self.number = pa.concat_arrays([self.number, new])
 
     def __call__(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         if len(self.number) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
             self.forget()
         words, doc = words_of(buf, offs)
-        coded = words.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        new = [w for w in unique if w not in self.number]
-        for lo in range(0, len(new), TOGETHER):
-            some = new[lo : lo + TOGETHER]
-            coded_words = self.encode([[w.decode("utf-8", "replace") for w in some]], is_pretokenized=True, add_special_tokens=False)[0]
-            n = np.bincount(np.array(coded_words.word_ids, np.int64), minlength=len(some))
-            self.number.update(zip(some, range(len(self.number), len(self.number) + len(some))))
-            self.bounds.frombytes((len(self.ids) + np.cumsum(n)).astype(np.int64).tobytes())
-            self.ids.extend(coded_words.ids)
-        at = np.array([self.number[w] for w in unique], np.int64)[coded.indices.to_numpy()]
+        found = pc.index_in(words, value_set=self.number)
+        at = found.fill_null(-1).to_numpy().astype(np.int64)
+        if found.null_count:
+            unknown, known = words.filter(found.is_null()), len(self.number)
+            coded = unknown.dictionary_encode()
+            self.learn(coded.dictionary)
+            at[at < 0] = known + coded.indices.to_numpy()
         bounds = np.array(self.bounds)
         n = bounds[at + 1] - bounds[at]
         ids = np.array(self.ids, np.uint32)[places(bounds[at], n)]

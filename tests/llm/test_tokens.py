@@ -46,6 +46,19 @@ def test_encoder_forgets(monkeypatch):
         assert encoder(buf, np.array([0, len(buf)]))[0].tolist() == whole([text])[0] and len(encoder.number) == 5
 
 
+def test_words_of_letters_take_the_short_way_and_have_the_ids_of_whole_texts():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abzAZéÉßÿªµ", k=rng.randint(1, 12))) + rng.choice(["", "", ",", ".", "..", ".,"]) for _ in range(3000)]
+    others = ["don't", "a1", "a-b", ",a", "e\u0301", "Σσ,", "é\u0301.", "ﬁ", "a,b", "1,", "<|endoftext|>", "<|endoftext|>,"]
+    encoder, asked = Encoder(open(MODEL, encoding="utf-8").read()), []
+    encode = encoder.encode
+    encoder.encode = lambda texts, **options: asked.extend(texts[0]) or encode(texts, **options)
+    text = " ".join(words + others + words)
+    buf = np.frombuffer(text.encode(), np.uint8)
+    assert encoder(buf, np.array([0, len(buf)]))[0].tolist() == whole([text])[0]
+    assert sorted(asked) == sorted(others)
+
+
 def table(seed=1):
     rng = random.Random(seed)
     words = ["The", "quick", "brunâtre", "don't", "x" * 90, "1234", "\u00a0", "<|endoftext|>", "!?"]
