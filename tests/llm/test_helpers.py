@@ -78,3 +78,28 @@ def test_components_of_links_found_in_turns(spark):
     none = make([])
     assert merged_components(connected_components(none), connected_components(none)).count() == 0
     assert {tuple(r) for r in merged_components(connected_components(none), later).collect()} == {tuple(r) for r in later.collect()}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_few_links_at_once_take_few_jobs(spark, kind):
+    rng = np.random.default_rng(11)
+    order = (rng.permutation(400) + 1000).tolist()
+    chain = list(zip(order, order[1:]))
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + chain + [(5000, i) for i in range(4000, 4100)]
+    name = str if kind == "string" else int
+    links = spark.createDataFrame([(name(a), name(b)) for a, b in pairs], f"a {kind}, b {kind}")
+    sc = spark.sparkContext
+
+    def jobs_of(group, **options):
+        sc.setJobGroup(group, "")
+        try:
+            found = connected_components(links, **options)
+            return {tuple(r) for r in found.collect()}, len(sc.statusTracker().getJobIdsForGroup(group))
+        finally:
+            sc._jsc.clearJobGroup()
+
+    rounds, many = jobs_of(f"rounds of {kind}")
+    found, few = jobs_of(f"at once, {kind}", at_once=True)
+    assert found == rounds and 3 * few < many
+    assert {tuple(r) for r in connected_components(links, few=10, at_once=True).collect()} == rounds  # many links go by rounds
+    assert connected_components(links.limit(0), at_once=True).count() == 0
