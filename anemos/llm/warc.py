@@ -75,7 +75,9 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     least least_revisit bytes, those with the smallest id are responses and the others revisit it. Null html is an empty
     payload, a null url has no target. A row without an id revisits one that has an id, and is a response where none has. Rows that repeat
     an id and payload are alike. An empty table makes no record. Only (id, digest, length) is grouped and joined to find
-    revisits; a payload is shuffled once, by id and digest.
+    revisits; a payload is shuffled once, by id and digest. Rows that lie in more partitions
+    than there are files to write are put together, with as many tasks as cores at least: Hadoop's local file system starts three processes for a file, each of which
+    shows the executor's memory a second time for a moment.
 
     A record ends with an empty line twice, which is the line separator of Spark's text writer.
     """
@@ -104,6 +106,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
                     out, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
+    rows = rows.coalesce(max(parts, pages.sparkSession.sparkContext.defaultParallelism))
     made = rows.select(F.when(~F.col("nameless"), F.col("key")).alias("key"), "url", "payload", "digest", "n", "first", "again").mapInArrow(build, "value binary")
     made.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(path)
 

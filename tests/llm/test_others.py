@@ -199,6 +199,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_warc_files_are_few_however_rows_are_dealt(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://x/{i}", "same" * 50 if i % 3 else f"<p>{i}</p>") for i in range(300)], "page_id long, url string, html string")
+    deal = type(df).repartition
+    monkeypatch.setattr(type(df), "repartition", lambda self, n, *cols: deal(self, max(40, n), *cols))
+    warc.write_warc(df, str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("part-*"))) <= spark.sparkContext.defaultParallelism
+    got = {int(r["page_id"]): (r["record_type"], r["refers_to"]) for r in warc.read_warc(spark, str(tmp_path / "w")).where("complete").collect()}
+    assert got == {i: ("revisit", "1") if i % 3 and i > 1 else ("response", None) for i in range(300)}
+
+
 def test_warc_pages_without_id(spark, tmp_path):
     rows = [(None, "u", "x" * 300), (None, "u", "x" * 300), (5, "u", "x" * 300), (None, "u", "y" * 300), (None, "u", "y" * 300), (None, None, None)]
     warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
