@@ -7,7 +7,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from anemos.llm import lines, suffix
-from anemos.llm._common import labels_of
+from anemos.llm._common import labels_of, tiles
 from anemos.llm.neardup_vectors import calibrated_count, collision_rate, lists_needed, vector_groups
 from anemos.llm.simhash import near_fingerprints, simhash_dedup, simhash_groups
 
@@ -183,6 +183,29 @@ def test_line_plan_is_native(spark):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_blocks_of_lines_are_shuffled_once(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, [i // 2, 100 + i]) for i in range(20)], "id long, blocks array<int>")
+    rows.write.parquet(str(tmp_path / "d"))
+    monkeypatch.setattr(lines, "stored", lambda df, *_: df)
+    got = lines.shared_blocks(spark.read.parquet(str(tmp_path / "d")))
+    assert sorted(tuple(r) for r in got.collect()) == [(i // 2, i, 2) for i in range(20)]
+    final = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in final
+
+
+def test_tiles_of_crowded_blocks_miss_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(lines, "_linked", lambda pairs, *_: pairs.select("ma.id", "mb.id").distinct())
+    sizes = {1: 2, 2: 8, 3: 9, 4: 40}
+    rows = [(b, 100 * b + i, n, 100 * b + i, 5, 0, 0, 0) for b, n in sizes.items() for i in range(n)]
+    left = spark.createDataFrame(rows, "block int, id long, lines long, part long, size int, fp long, b0 long, b1 long")
+    got = lines.all_links(left, None, 0.8, most=8).collect()
+    assert sorted(tuple(r) for r in got) == sorted((100 * b + i, 100 * b + j) for b, n in sizes.items() for i in range(n) for j in range(i + 1, n))
+    seen = []
+    monkeypatch.setattr(lines, "tiles", lambda rows, *a: seen.append(rows.count()) or tiles(rows, *a))
+    lines.all_links(left, None, 0.8, most=8)
+    assert seen == [49]
+
+
 def test_line_fingerprints(spark):
     rng = np.random.default_rng(2)
     rows = [(i, "".join(rng.choice(list("abcdefgh"), n))) for i, n in enumerate((1, 2, 127, 128, 129, 700, 20000))]
@@ -235,6 +258,11 @@ def test_lines_against_brute_force(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 100
 
 
+def test_lines_in_portions_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PAIRS_AT_ONCE", 100)
+    test_lines_against_brute_force(spark)
+
+
 def edited(base, kind, words, rng):
     """base with words replaced, put in, left out or all of these, as many as similarity 0.8 allows."""
     out, n = list(base), len(base)
