@@ -65,7 +65,11 @@ class QualityModel:
     neighbours: int
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        x = (np.log1p(counts) * self.idf) @ self.axes
+        return self.on_axes(np.log1p(counts) * self.idf)
+
+    def on_axes(self, weighted: np.ndarray) -> np.ndarray:
+        """Unit vectors of weighted counts."""
+        x = weighted @ self.axes
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
 
@@ -98,6 +102,16 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["label", "at", "value"])
 
 
+def _dense(got: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, counts x TERMS) of what _sparse made, a chunk at a time and without Python values, which would take some times the matrix."""
+    x, row = np.zeros((got.num_rows, TERMS), np.float32), 0
+    for batch in got.to_batches():
+        n = batch["at"].value_lengths().to_numpy(zero_copy_only=False)
+        x[row + np.repeat(np.arange(len(n)), n), batch["at"].flatten().to_numpy()] = batch["value"].flatten().to_numpy()
+        row += len(n)
+    return got["label"].to_numpy().astype(float), x
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, size: int = 48, neighbours: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on at most `per_label` labelled documents of each label (0 and 1), those whose ids hash lowest; each stands for
     its share of its label, so that votes keep the labels' true proportions. The bound keeps the driver's matrix and what is
@@ -112,14 +126,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, size:
         some = known.where(F.col("label") == label).orderBy(F.xxhash64(id_col), id_col).limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
     rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).groupBy(id_col).agg(F.max("label").alias("label"), F.max(text_col).alias("text")).orderBy(id_col)
-    got = rows.select("label", "text").mapInArrow(_sparse, "label int, at array<int>, value array<float>").toArrow().to_pydict()
-    x = np.zeros((len(got["label"]), TERMS), np.float32)
-    for i, (at, value) in enumerate(zip(got["at"], got["value"])):
-        x[i, at] = value
-    y = np.array(got["label"], float)
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
-    z = np.log1p(x) * idf
-    basis = z.T @ (z @ np.random.default_rng(1).standard_normal((TERMS, min(size + 16, max(1, len(x))))).astype(np.float32))
+    got = rows.select("label", "text").mapInArrow(_sparse, "label int, at array<int>, value array<float>").toArrow()
+    y, z = _dense(got)
+    del got
+    idf = (np.log((1 + len(z)) / (1 + np.count_nonzero(z, axis=0))) + 0.1).astype(np.float32)
+    np.log1p(z, out=z)  # in place: the matrix, of some 66 MB at its bound, is held once
+    z *= idf
+    basis = z.T @ (z @ np.random.default_rng(1).standard_normal((TERMS, min(size + 16, max(1, len(z))))).astype(np.float32))
     for _ in range(3):
         basis = z.T @ (z @ np.linalg.qr(basis)[0])
     basis = np.linalg.qr(basis)[0]
@@ -128,7 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 2000, size:
     counted = np.array([(y == 0).sum(), (y == 1).sum()])
     weight = np.array([share.get(k, 0) / max(1, counted[k]) for k in (0, 1)])[y.astype(int)] if len(y) else np.zeros(0)
     model = QualityModel(idf, axes, np.zeros((0, size), np.float32), y, weight, share.get(1, 0) / sum(share.values()), neighbours)
-    model.vectors = model.embed(x) if len(x) else np.zeros((0, axes.shape[1]), np.float32)
+    model.vectors = model.on_axes(z) if len(z) else np.zeros((0, axes.shape[1]), np.float32)
     return model
 
 

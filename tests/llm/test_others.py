@@ -2,6 +2,7 @@ import gzip
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -183,6 +184,18 @@ def test_quality(spark):
     assert quality.quality_filter(df.where("false"), labels).count() == 0
 
 
+def test_quality_is_fitted_with_one_matrix_on_the_driver(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(words, 800))) for i in range(600)], DOCS).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    tracemalloc.start()
+    model = quality.fit_quality(df, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.vectors.shape == (600, 48) and peak < 2 * 600 * quality.TERMS * 4  # the counts of all labelled documents, as float32
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "é<p>" * 30000
     rows = [(1, "http://a/ b\r\nX: y", "x" * 500), (2, None, "x" * 500), (3, "http://c", "short"), (4, "http://d", "short"), (5, "http://e", None), (6, "http://f", ""), (7, "http://g", big), (8, "http://h", "WARC/1.1\r\n\r\n0\r\n\r\n" * 40), (8, "http://h", "WARC/1.1\r\n\r\n0\r\n\r\n" * 40), (9, "http://i", big)]
