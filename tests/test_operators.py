@@ -163,6 +163,11 @@ def test_nearest(spark):
         G.nearest(nodes, 1, 1, 17)
 
 
+def test_nearest_of_nodes_in_one_place(spark):
+    nodes = spark.range(2000).select(((F.lit(1999) - F.col("id")) * 7 % 2000).alias("node"), F.lit(50.0).alias("latitude"), F.lit(0.0).alias("longitude"), F.create_map(F.lit("a"), "id").alias("m"))
+    assert [r["node"] for r in G.nearest(nodes.repartition(7), 50.1, 0.1, 4).collect()] == [0, 1, 2, 3]
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/x.csv").write_text("Timestamp,Spd,Site\n2016-01-09 15:30,5.1,A\n2016-01-09T15:40:00Z,NaN,A\n")
