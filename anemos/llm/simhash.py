@@ -184,7 +184,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows without an id always stay; rows of one id are kept or go together.
 
     Groups are those of simhash_groups. With a `similarity`, documents are instead linked by the exact Jaccard similarity of their
-    five-word shingles: SimHash within `radius` bits proposes pairs first, and MinHash bands what lies further apart (see
+    five-word shingles: SimHash within `radius` bits proposes pairs first, and the rarest shingles of each text all that lies further apart (see
     minhash.shingle_groups)."""
     if similarity is not None:
         from anemos.llm.minhash import shingle_dedup

@@ -55,3 +55,23 @@ def test_near_duplicate_stage_against_brute_force(spark, tmp_path):
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()}
     assert planted > 50 and got == {ids[k] for k in range(len(ids)) if root[k] == k}
     assert corpus_pipeline.near_duplicates(spark, df.where("false"), str(tmp_path)).count() == 0
+
+
+def test_no_near_duplicate_is_left_out(spark, tmp_path):
+    """Pairs at Jaccard 0.8 that share none of 32 bands of four MinHashes."""
+    pairs = [("ojek kqdw eoge sxhd ldxz zpmd opbc dppy tqma bpqz kqah xtlf", "hgrb", "ewpx"), ("fbgr owxz sgaz ovqr eene camq lhru frhm zuji yhlc zyme gbmg", "meug", "ebar")]
+    docs = [(2 * i + k, f"{p[0]} {p[1 + k]}") for i, p in enumerate(pairs) for k in (0, 1)] + [(9, "quite another text")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [0, 2, 9]
+
+
+def test_first_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 4, 5, 9, 10, 45, 400):
+        for lost in range(0, n // 5 + 1):
+            union = rng.integers(0, 1 << 63, n + lost, dtype=np.uint64)
+            a, b = np.sort(union[:n]), np.sort(union[lost:])
+            counts = rng.integers(0, 4, 1 << minhash.BUCKET_BITS)
+            if (n - lost) * 1.8 >= 0.8 * 2 * n - 1e-9:
+                first, ends = minhash.prefixes(np.concatenate([a, b]), np.array([0, n, 2 * n]), counts, 0.8)
+                assert set(first[: ends[1]]) & set(first[ends[1] :])
