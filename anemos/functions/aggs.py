@@ -53,9 +53,11 @@ def python_aggregate(function: Callable, result: str = "double") -> Callable[[Co
 
 def fold(df: DataFrame, keys: list[str], column: str, initial: Callable, update: Callable, merge: Callable, finish: Callable, result: str = "double", most: int = 100_000) -> DataFrame:
     """(keys, value): a Python aggregate in partial states, for groups of any size. initial() makes a state, update(state, Series) takes some of a group's values (nulls left out), merge(a, b) joins
-    two states, finish(state) gives the value. States go between tasks pickled; a task keeps one a group, hands over those it has at `most` groups, and only states are shuffled."""
+    two states, finish(state) gives the value. Rows are dealt by key, groups too large for one task to several, and sorted there, so that update() gets what a batch has of a group at once
+    and is called about as often as there are groups and batches. A task keeps at most `most` states and hands them over pickled; a group's states are joined at last."""
     import pickle
 
+    import numpy as np
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
@@ -71,23 +73,36 @@ def fold(df: DataFrame, keys: list[str], column: str, initial: Callable, update:
             return out
 
         for rows in batches:
-            for key, part in rows.groupby(keys, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                states[key] = update(states[key] if key in states else initial(), part["value"].dropna())
+            if not len(rows):
+                continue
+            group = rows.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            values, some = rows["value"].iloc[order], rows["value"].notna().to_numpy()[order]
+            group = group[order]
+            starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            named = rows[keys].iloc[order[starts]].astype(object)
+            named = named.where(named.notna(), None)
+            for key, lo, hi in zip(named.itertuples(index=False, name=None), starts, [*starts[1:], len(group)]):
+                part = values.iloc[lo:hi]
+                states[key] = update(states[key] if key in states else initial(), part if some[lo:hi].all() else part[some[lo:hi]])
             if len(states) > most:
                 yield handed()
         yield handed()
 
-    def join(states: pd.Series):
-        whole = None
-        for s in states:
-            s = pickle.loads(s)
-            whole = s if whole is None else merge(whole, s)
-        return finish(whole)
-
-    join.__annotations__ = {"states": pd.Series, "return": float if result == "double" else str if result == "string" else int}
-    states = df.select(*keys, F.col(column).alias("value")).mapInPandas(partial, f"{kept}, state binary")
-    return states.groupBy(*keys).agg(pandas_udf(join, result)("state").alias("value"))
+    def join(gathered: pd.Series) -> pd.Series:
+        out = []
+        for states in gathered:
+            whole = None
+            for i, s in enumerate(states):
+                s = pickle.loads(s)
+                whole = merge(whole, s) if i else s
+            out.append(finish(whole))
+        return pd.Series(out, dtype=object)
+
+    join.__annotations__ = {"gathered": pd.Series, "return": pd.Series}
+    dealt = df.select(*keys, F.col(column).alias("value")).hint("rebalance", *keys).sortWithinPartitions(*keys)
+    states = dealt.mapInPandas(partial, f"{kept}, state binary")
+    return states.groupBy(*keys).agg(F.collect_list("state").alias("__states")).select(*keys, pandas_udf(join, result)("__states").alias("value"))
 
 
 def quantile(p: float) -> Callable[[Column], Column]:

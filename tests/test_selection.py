@@ -65,6 +65,19 @@ def test_folded_states(spark, most):
     assert {(r["k"], r["j"]): r["value"] for r in got.collect()} == {k: pytest.approx(max(v) - min(v)) if v else None for k, v in want.items()}
 
 
+def test_folds_of_many_groups_are_updated_once_a_group(spark):
+    """Rows of 5,000 groups that lie in any order: update() sees a group's rows together, not a few in each of the input's partitions."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def update(state, v):
+        calls.add(1)
+        return state + float(v.sum())
+
+    df = spark.range(0, 50_000, 1, 10).select((F.col("id") * 7919 % 5000).alias("k"), F.lit(2.0).alias("v"))
+    got = fold(df, ["k"], "v", lambda: 0.0, update, lambda a, b: a + b, lambda s: s).collect()
+    assert len(got) == 5000 and {r["value"] for r in got} == {20.0} and calls.value < 10_000
+
+
 def brute(left, right, direction, within):
     out = []
     for i, t, k in left:
