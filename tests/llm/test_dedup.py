@@ -313,3 +313,20 @@ def test_no_pair_of_lines_at_the_threshold_is_left_out(spark):
                     k += 1
     got = {r["doc"]["id"] for r in lines.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string")).select("doc").collect()}
     assert k > 480 and not {i for i, _ in docs if i % 2} - got
+
+
+def test_order_of_blocks_changes_no_result(spark, monkeypatch):
+    """What lines.frequencies learns, and from how many documents, only orders blocks."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)]
+    docs = []
+    for k in range(40):
+        base = [str(w) for w in rng.choice(words, rng.choice([4, 9, 20, 44]))]
+        docs += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited(base, "mixed", words, rng)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = []
+    for classes in (None, rng.integers(0, 60, lines.BUCKETS)):
+        if classes is not None:
+            monkeypatch.setattr(lines, "frequencies", lambda *_: F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>"))  # noqa: B023
+        found.append({r["doc"]["id"] for r in lines.repeated_lines(df).select("doc").collect()})
+    assert found[0] == found[1] and len(found[0]) > 30
